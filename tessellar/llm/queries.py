@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import decontaminate, licenses, line_dedup, media, mixing, quality, token_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": licenses.op3_licenses,
+    "op4_quality_fm": quality.op4_quality,
+    "op5_token_rollup": token_rollup.op5_token_rollup,
+    "op6_spaced_seeds": decontaminate.op6_decontaminate,
+    "op8_media_columns": media.op8_media,
     "op9_source_mix": mixing.op9_mix,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
