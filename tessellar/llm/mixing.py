@@ -23,8 +23,6 @@ from .common import columns, cut, words
 BLOCK, SLOTS, SEED, ROUNDS = 128, 1024, 20, 16
 SHARE, CAP = 1.5, 2
 WEIGHTS = (5, 2, 1)
-#: Of documents that one task puts in order.
-BUCKET_WORDS = 4_000_000
 PRIME = 2147483647
 
 
@@ -93,7 +91,8 @@ def laid_out(sizes: DataFrame, per: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Places are prefix sums in two levels, (source, bucket) and then inside a bucket, so no task holds a whole source.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / BUCKET_WORDS)).cast("bigint")
+    # as many buckets as a bucket has stretches of 64 words: neither level's windows outgrow a task
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / 64))).cast("bigint")
     d = sizes.join(per, sizes["source"].eqNullSafe(per["source"])).drop(per["source"])
     d = d.withColumn("at", F.xxhash64("doc_id", F.lit(SEED))).withColumn("bucket", F.pmod("at", n))
     sums = d.groupBy("number", "bucket").agg(F.sum("size").alias("held"))
@@ -132,9 +131,10 @@ def drawn(per: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     s = cut(s.select("number", "quota", "source_size", "blocks", "passes", "tail", "rest", "short_at", "need", "low", "all", "shards"), "sources")
     # multinomial counts: a shard's slots each fall on the source whose stretch of [0, all) holds a uniform draw;
     # both sides are dealt by the draw's interval of `slots` numbers, so this is an equi-join
-    shard = s.select("all", "shards").distinct().select("all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"))
-    slot = shard.select("all", "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("slot"))
-    u = F.floor(mixed_bits(F.col("slot"), F.col("shard"), SEED) * F.lit(1.0) / PRIME * F.col("all")).cast("bigint")
+    known = s.select("all", "shards").first()  # two numbers
+    total, shards = (known["all"], known["shards"]) if known else (0, 0)
+    slot = s.sparkSession.range(shards * slots).select(F.expr(f"id div {slots}").alias("shard"), (F.col("id") % slots).alias("slot"))
+    u = F.floor(mixed_bits(F.col("slot"), F.col("shard"), SEED) * F.lit(1.0) / PRIME * total).cast("bigint")
     slot = slot.withColumn("u", u).withColumn("at", F.expr(f"u div {slots}"))
     stretch = s.select("number", "low", "need", F.explode(F.sequence(F.expr(f"low div {slots}"), F.expr(f"(low + need - 1) div {slots}"))).alias("at"))
     count = slot.join(stretch, "at").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("need")))
@@ -147,7 +147,8 @@ def drawn(per: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     left = s.join(given, "number", "left").select("number", "shards", "need", F.coalesce("got", F.lit(0)).alias("got")).filter("got < need")
     left = left.select("number", "need", F.col("shards"), F.explode(F.sequence(F.col("got"), F.col("need") - 1, F.lit(slots).cast("bigint"))).alias("base"))
     left = left.select("number", (F.col("shards") + F.expr(f"base div {slots}")).alias("shard"), "base", F.least(F.lit(slots).cast("bigint"), F.col("need") - F.col("base")).alias("c"))
-    rank = in_shards.unionByName(left).withColumn("rank", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("c") - 1)))
+    # dealt out before the explosion: a count is a few bytes and up to `slots` rows
+    rank = in_shards.unionByName(left).repartition("number", "shard").withColumn("rank", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("c") - 1)))
     rank = rank.join(s.select("number", "blocks", "passes", "rest", "short_at", "tail"), "number")
     rank = rank.withColumn("pass", F.expr("rank div blocks")).withColumn("r", F.col("rank") % F.col("blocks"))
     rank = permuted(rank.withColumn("key", F.col("number") * 1000 + F.col("pass")), "block", "r", "blocks", "key")
