@@ -1,12 +1,12 @@
 """Media columns: content-addressed payloads in tar shards, read back by byte ranges.
 
-A payload is stored once, as a greyscale PNG of 8-bit samples, ``WIDTH`` to a row (lossless), under the SHA-256 of its
-samples. Map tasks drop the copies they see and encode before the shuffle, so it carries compressed payloads; each
-reduce task writes one tar shard and returns (digest, shard, offset, length). That index is written as a table;
-documents carry the digest. Size columns come from a range read of the PNG header alone, features from a range read of
-the payload.
+A payload is stored as a greyscale PNG of 8-bit samples, ``WIDTH`` to a row (lossless), and named by the SHA-256 of its
+samples. Payloads never pass through a shuffle: each task writes its rows' payloads to tar shards of its own, a digest
+once, and returns (doc_id, digest, shard, offset, length), which is written as a table. The index keeps one place a
+digest; where several tasks met the same payload the other places are spare, and no row points to them. Size columns
+come from a range read of the PNG header alone, features from a range read of the payload.
 
-A shard's name holds a number drawn for the task attempt, so a task that is run again writes another file and the index
+A shard's name holds a number drawn for the task attempt, so a task that is run again writes another file and the table
 names the one that counts; what a lost attempt left is never referenced.
 
 Results in the odd cases: a null or empty text is one row of blanks; rows that repeat share one payload; a null doc_id
@@ -16,7 +16,6 @@ is carried; an empty table gives an empty table; other columns are never read.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -32,9 +31,11 @@ WIDTH = 192
 LEVEL = 4
 #: Signature, chunk length and type, and the header's 13 bytes with their checksum.
 HEADER = 33
-INDEX = "digest string, shard string, offset bigint, length bigint"
-#: Digests that a map task remembers before it forgets them; copies met later go to the shuffle again.
-SEEN = 1_000_000
+ROWS = "doc_id bigint, n_bytes bigint, digest string, shard string, offset bigint, length bigint"
+#: Digests that a task remembers before it forgets them; a copy met later is stored again.
+SEEN = 500_000
+#: A shard is closed beyond this many bytes.
+SHARD_BYTES = 1 << 30
 
 
 def payload(text: bytes) -> bytes:
@@ -85,71 +86,67 @@ def open_store(url: str):
     return fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url.removeprefix("file:"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, digest) of every row."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            blobs = texts(b)
-            found = pa.array([hashlib.sha256(payload(x)).hexdigest() for x in blobs], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, blobs), pa.int64()), found], names=["doc_id", "n_bytes", "digest"])
-
-    small_batches(docs.sparkSession)
-    return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, digest string")
+class Shards:
+    """Tar files in a folder, one open at a time."""
+
+    def __init__(self, folder: str):
+        self.folder, self.out, self.name, self.at = folder, None, "", 0
+
+    def add(self, digest: str, data: bytes) -> tuple[str, int, int]:
+        """(shard, offset, length) of the data."""
+        if self.out is None:
+            self.name, self.at = f"{self.folder}/{uuid.uuid4().hex}.tar", 0
+            disk, path = open_store(self.name)
+            disk.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            self.out = disk.open_output_stream(path)
+        info = tarfile.TarInfo(f"{digest}.png")
+        info.size = len(data)
+        head = info.tobuf(tarfile.USTAR_FORMAT)
+        self.out.write(head + data + b"\0" * (-len(data) % 512))
+        place = (self.name, self.at + len(head), len(data))
+        self.at += len(head) + len(data) + -len(data) % 512
+        if self.at >= SHARD_BYTES:
+            self.close()
+        return place
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(b"\0" * 1024)
+            self.out.close()
+            self.out = None
 
 
 def write_shards(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes the payloads of docs to tar shards in `folder`; the index, a row a payload, as a written table."""
+    """Writes the payloads of docs to tar shards in `folder`; (doc_id, n_bytes, digest, shard, offset, length) of every
+    row, as a written table."""
     small_batches(docs.sparkSession)
 
-    def pack(batches: Iterator) -> Iterator:
+    def store(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen: set[bytes] = set()
+        shards, seen = Shards(folder), {}
         for b in batches:
-            keys, media = [], []
+            out = []
             for x in texts(b):
                 samples = payload(x)
-                digest = hashlib.sha256(samples)
-                if digest.digest() not in seen:
-                    seen.add(digest.digest())
-                    keys.append(digest.hexdigest())
-                    media.append(encode(samples))
-            if len(seen) > SEEN:
-                seen.clear()
-            if keys:
-                yield pa.record_batch([pa.array(keys, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+                digest = hashlib.sha256(samples).hexdigest()
+                if digest not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[digest] = shards.add(digest, encode(samples))
+                out.append((len(x), digest, *seen[digest]))
+            if out:
+                cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=[c.split()[0] for c in ROWS.split(", ")])
+        shards.close()
 
-    def store(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    return cut(columns(docs, "doc_id", "text").mapInArrow(store, ROWS), "media-rows")
 
-        shard = f"{folder}/{uuid.uuid4().hex}.tar"
-        disk, path = open_store(shard)
-        out, at, last, rows = None, 0, None, []
-        for b in batches:
-            for digest, media in zip(b.column("digest").to_pylist(), b.column("media"), strict=True):
-                if digest == last:  # sorted: copies are neighbours
-                    continue
-                if out is None:
-                    disk.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    out = disk.open_output_stream(path)
-                data, last = media.as_py(), digest
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(data)
-                head = info.tobuf(tarfile.USTAR_FORMAT)
-                out.write(head + data + b"\0" * (-len(data) % 512))
-                rows.append((digest, shard, at + len(head), len(data)))
-                at += len(head) + len(data) + -len(data) % 512
-        if out is not None:
-            out.write(b"\0" * 1024)
-            out.close()
-            yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length"])
-
-    packed = columns(docs, "text").mapInArrow(pack, "digest string, media binary")
-    dealt = packed.repartition(F.col("digest")).sortWithinPartitions("digest")
-    return cut(dealt.mapInArrow(store, INDEX), "media-index")
+
+def index_of(rows: DataFrame) -> DataFrame:
+    """(digest, shard, offset, length): one place a digest, in the order of the shards."""
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return rows.groupBy("digest").agg(place).select("digest", "place.*").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(b, length: int | None) -> Iterator[bytes]:
@@ -212,13 +209,15 @@ def with_features(index: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with digest, shard, offset, length, width, height and bits; the index)."""
-    index = write_shards(docs, folder or scratch(docs.sparkSession, "media"))
-    return digests(docs).join(with_headers(index), "digest", "left"), index
+    """(rows with doc_id, n_bytes, digest and their place; the index with width, height and bits)."""
+    rows = write_shards(docs, folder or scratch(docs.sparkSession, "media"))
+    index = cut(with_headers(index_of(rows)), "media-index")
+    return rows, index
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows, index = media_columns(docs)
-    out = rows.join(with_features(index), "digest")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "offset", "length")
+    full = with_features(index).join(index.select("digest", "width", "height", "offset", "length"), "digest")
+    out = rows.select("doc_id", "n_bytes", "digest").join(full, "digest")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest")
