@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, line_dedup, media, mixing, quality, token_rollup
+from . import decontaminate, jaccard_join, lattice, licenses, line_dedup, media, mixing, quality, token_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_lattice": lattice.op1_lattice,
+    "op2_jaccard_join": jaccard_join.op2_jaccard,
     "op3_license_scan": licenses.op3_licenses,
     "op4_quality_fm": quality.op4_quality,
     "op5_token_rollup": token_rollup.op5_token_rollup,
