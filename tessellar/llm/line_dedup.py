@@ -46,17 +46,18 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text replaced by its kept lines, and n_lines and n_dropped added."""
-    extra = [c for c in dict.fromkeys(docs.columns) if c not in ("text", "n_lines", "n_dropped", "row1", "row2", "gone", "id", "parts", "edges")]
+    extra = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     full = docs.select(*[docs[c] for c in extra], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    full = full.withColumn("id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    full = full.withColumns({"row1": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(29), "text", "id")})
-    joined = full.join(dropped_positions(docs, min_chars, min_docs), ["row1", "row2"], "left")
-    parts = joined.withColumn("parts", F.split("text", "\n", -1)).withColumn("n_lines", F.size("parts").cast("bigint"))
-    gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
+    full = full.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    full = full.withColumns({"_row1": F.xxhash64("_id", "text"), "_row2": F.xxhash64(F.lit(29), "text", "_id")})
+    lost = dropped_positions(docs, min_chars, min_docs).select(F.col("row1").alias("_row1"), F.col("row2").alias("_row2"), F.col("gone").alias("_gone"))
+    joined = full.join(lost, ["_row1", "_row2"], "left")
+    parts = joined.withColumn("_parts", F.split("text", "\n", -1)).withColumn("n_lines", F.size("_parts").cast("bigint"))
+    gone = F.coalesce("_gone", F.expr("cast(array() as array<int>)"))
     parts = parts.withColumn("n_dropped", F.size(gone).cast("bigint"))
     # the kept lines are the slices between neighbouring dropped positions: linear in the number of lines
-    parts = parts.withColumn("edges", F.concat(F.array(F.lit(-1)), gone, F.array(F.size("parts"))))
-    kept = F.expr("flatten(transform(sequence(0, size(edges) - 2), i -> slice(parts, edges[i] + 2, edges[i + 1] - edges[i] - 1)))")
+    parts = parts.withColumn("_edges", F.concat(F.array(F.lit(-1)), gone, F.array(F.size("_parts"))))
+    kept = F.expr("flatten(transform(sequence(0, size(_edges) - 2), i -> slice(_parts, _edges[i] + 2, _edges[i + 1] - _edges[i] - 1)))")
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     return parts.select(*extra, text.alias("text"), "n_lines", "n_dropped")
 
