@@ -37,6 +37,8 @@ BAND, PLAIN, WEIGHT = 1.3, 16, 20.0
 #: Shingles that one verifying task holds of either block.
 BLOCK_SHINGLES = 2_000_000
 SEEN = 500_000
+#: Bits of the filter that tells, before texts are hashed again, which ids are wanted: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
 
 
 class Plan:
@@ -195,20 +197,31 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) -> Data
     blocks = members.join(weight, "component").withColumn("blocks", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", "c2"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    d = columns(docs, "doc_id", "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    wanted = d.join(members.select("id").distinct(), "id", "left_semi").select("id", "text")
+    # texts are not shuffled: a filter of fixed size picks the rows to hash again, and the join on ids decides
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = members.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    wanted = np.zeros(FILTER_BITS, bool)
+    for r in bits.collect():  # FILTER_BITS / 32768 rows at most
+        part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        wanted[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    d = columns(docs, "doc_id", "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text", place.cast("int").alias("place"))
 
     def shingled(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
+            at = b.column("place").to_numpy()
+            b = b.filter(pa.array(shared.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+            if not b.num_rows:
+                continue
             h, at = word_hashes(texts(b))
             sets = shingles(h, at, k)
             c2 = [int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "c2", "s"])
 
-    sets = wanted.mapInArrow(shingled, "id bigint, c2 bigint, s binary").dropDuplicates(["id", "c2"])
-    full = blocks.select("id", "c2", "component", "block", "blocks").join(sets, ["id", "c2"])
+    sets = d.mapInArrow(shingled, "id bigint, c2 bigint, s binary")
+    full = blocks.select("id", "c2", "component", "block", "blocks").join(sets, ["id", "c2"]).dropDuplicates(["id", "c2"])
     full = full.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "s")
 
     def verify(t):
