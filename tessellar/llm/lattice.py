@@ -44,6 +44,8 @@ PASSES, PRIOR, LONGEST = 3, 500.0, 12
 FLUSH = 250_000
 BITS = 22
 STEP = 4096
+#: Words that go through the recursions at once: batches come smaller than arrays pay off.
+TOGETHER = 60_000
 END = b""
 _T = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -178,6 +180,21 @@ def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
         return safe + np.log(np.exp(m - safe).sum(axis=0))
 
 
+def together(batches: Iterator) -> Iterator:
+    """Batches joined to tables of TOGETHER rows or a little more."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def word_counts(docs: DataFrame, classes: int) -> DataFrame:
     """(word, c0, c1, ...) of all distinct words: counts by class, of training rows only. The end is the empty word."""
 
@@ -245,7 +262,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> Mo
 
             model = shared.value
             expected = np.zeros((classes, len(model.prior)))
-            for b in batches:
+            for b in together(batches):
                 use = np.array([b.column(c).to_numpy() > 0 for c in names])
                 model.forward(b.column("word").to_pylist(), use, expected)
             k, some = np.nonzero(expected)
@@ -272,10 +289,8 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> Mo
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in together(batches):
             keys = b.column("word").to_pylist()
-            if not keys:
-                continue
             c = np.array([b.column(x).to_numpy().astype(float) for x in names])
             both = c.sum(axis=0)
             lattice = shared.value.forward(keys)
@@ -284,7 +299,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> Mo
             lp = np.logaddexp(np.log(np.maximum(known, 1e-300)), np.log(escape * (1 - back))[:, None] + lattice)
             lp = np.where(known > 0, lp, np.log(escape * (1 - back))[:, None] + lattice)
             lp = (lp - np.log(mass)[:, None]) / np.log(10)
-            yield pa.record_batch([b.column("word"), pa.array(both.astype(np.int64)), pa.array(np.log10((both + 0.5) / base)), *map(pa.array, lp)], names=["word", "c", "base", *lps])
+            yield pa.record_batch([b.column("word").chunk(0), pa.array(both.astype(np.int64)), pa.array(np.log10((both + 0.5) / base)), *map(pa.array, lp)], names=["word", "c", "base", *lps])
 
     lps = [f"lp{k}" for k in range(classes)]
     table = cut(counts.mapInArrow(score, ", ".join(["word binary", "c bigint", "base double", *[f"{x} double" for x in lps]])), "word-scores")
