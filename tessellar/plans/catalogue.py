@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _name in ("retrieval",):
+    _module = import_module(f"{__package__}.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
