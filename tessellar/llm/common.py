@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import cut, scratch, shared_root  # noqa: F401
 
 #: Bytes 0x20 and 0x09-0x0D: the white space of every contract here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -21,10 +21,6 @@ NO_ID = -(2**63)
 ARROW_ROWS = 512
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts (a session setting, read when a plan runs)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -61,41 +57,6 @@ def remainder(x: Column, n: int) -> Column:
     return F.crc32(F.coalesce(x.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (as in tests) is one set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="tessellar-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: ends its lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table that cut() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        if name.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -107,10 +68,6 @@ def texts(batch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def arrow_schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 def by_batches(rows: Iterator, size: int) -> Iterator[list]:
     out: list = []
     for r in rows:

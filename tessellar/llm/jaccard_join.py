@@ -29,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import NO_ID, columns, cut, small_batches, texts
-from .graph import components
 from .hashing import mix, shingles, word_hashes
 
 BAND, PLAIN, WEIGHT = 1.3, 16, 20.0

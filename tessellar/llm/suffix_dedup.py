@@ -31,7 +31,7 @@ from .hashing import _OF_BYTE, mix, powers
 
 LENGTH, GRAM = 200, 40
 #: Bytes of text that one task scans at once, and of stretches that a shard holds.
-STEP, SHARD_BYTES = 1 << 19, 4 << 20
+STEP, SHARD_BYTES = 1 << 19, 3 << 19
 PLACE_BITS = 22
 
 
@@ -291,8 +291,15 @@ def repeated_runs(docs: DataFrame, found: DataFrame, length: int, shard_bytes: i
         names = ["g", "x", "m", "bytes", "s"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
+            rows, held = [], 0
             for t, w in zip(texts(b), b.column("w"), strict=True):
-                rows = [(v["g"], v["x"], v["m"], v["bytes"], t[v["lo"] : v["hi"] + length]) for v in w.as_py()]
+                for v in w.as_py():
+                    rows.append((v["g"], v["x"], v["m"], v["bytes"], t[v["lo"] : v["hi"] + length]))
+                    held += v["hi"] - v["lo"] + length
+                if held > STEP:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, held = [], 0
+            if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     text = docs.dropDuplicates(["id", "tie"]).join(per, ["id", "tie"]).select("text", "w")
