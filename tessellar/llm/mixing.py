@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, cut, words
+from .common import NO_ID, columns, cut, words
 
 BLOCK, SLOTS, SEED, ROUNDS = 128, 1024, 20, 16
 SHARE, CAP = 1.5, 2
@@ -54,10 +54,14 @@ def permuted(df: DataFrame, name: str, x: str, n: str, key: str, back: bool = Fa
     return df.select(*keep, F.col("_x").alias(name))
 
 
+def tie() -> Column:
+    return F.xxhash64("text", "source")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, tie): the words of each document; tie tells apart rows that share an id."""
     d = columns(docs, "doc_id", "source", "text")
-    return d.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("tie"))
+    return d.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), tie().alias("tie"))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple = WEIGHTS) -> DataFrame:
@@ -178,19 +182,27 @@ def taken(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """The mix itself: (shard, rank, source, block, n_words, doc_ids, text), a row a drawn block; words joined by one space."""
-    _, cuts, draws = mix(docs, block, slots)
-    d = columns(docs, "doc_id", "source", "text").withColumn("tie", F.xxhash64("text"))
-    keys = ["doc_id", "tie", "source"]
-    # a piece's words go to its block; repeated rows are equal, so any of them serves
-    d = d.dropDuplicates(keys)
-    cuts = cuts.filter("n > 0")
-    same = [cuts[k].eqNullSafe(d[k]) for k in keys]
-    part = cuts.join(d, same[0] & same[1] & same[2]).select("number", "block", "offset", "n", cuts["source"], cuts["doc_id"], F.slice(words(F.col("text")), (F.col("first") + 1).cast("int"), F.col("n").cast("int")).alias("w"))
-    filled = part.groupBy("number", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "w"))).alias("p"))
+    """The mix itself: (shard, rank, source, block, n_words, doc_ids, text), a row a drawn block; words joined by one blank.
+
+    Texts pass through two shuffles: to their places, and as pieces to their blocks.
+    """
+    placed, _, draws = mix(docs, block, slots)
+    key = Window.partitionBy("id", "tie")
+    placed = placed.filter("size > 0").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("nth", F.row_number().over(key.orderBy("start")))
+    d = columns(docs, "doc_id", "source", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), tie().alias("tie"), "text")
+    # rows that repeat are equal, so any pairing of them with their places serves
+    d = d.withColumn("nth", F.row_number().over(key.orderBy(F.lit(0))))
+    full = placed.join(d, ["id", "tie", "nth"])
+    # through a generator, or the words would be made anew inside the function below, once a piece
+    full = full.select("number", "source", "doc_id", "start", "size", F.explode(F.array(words(F.col("text")))).alias("w"))
+    low, high = f"greatest(start, b * {block})", f"least(start + size, (b + 1) * {block})"
+    piece = f"struct(b as block, {low} - b * {block} as offset, array_join(slice(w, cast({low} - start + 1 as int), cast({high} - {low} as int)), ' ') as t)"
+    part = full.select("number", "source", "doc_id", F.expr(f"inline(transform(sequence(start div {block}, (start + size - 1) div {block}), b -> {piece}))"))
+    filled = part.groupBy("number", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "t"))).alias("p"))
     out = draws.filter("take > 0").join(filled, ["number", "block"])
-    w = F.slice(F.flatten(F.col("p")["w"]), F.lit(1), F.col("take").cast("int"))
-    return out.select("shard", "rank", "source", "block", F.col("take").alias("n_words"), F.col("p")["doc_id"].alias("doc_ids"), F.array_join(w, " ").alias("text"))
+    used = F.filter("p", lambda x: x["offset"] < F.col("take"))
+    out = out.select("shard", "rank", "source", "block", F.col("take").alias("n_words"), F.transform(used, lambda x: x["doc_id"]).alias("doc_ids"), F.array_join(F.col("p")["t"], " ").alias("all"))
+    return out.select("shard", "rank", "source", "block", "n_words", "doc_ids", F.expr("substring_index(all, ' ', cast(n_words as int))").alias("text"))
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
