@@ -311,7 +311,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held, n_tokens, n_known, base_score, score) of every row of docs."""
     spark, classes = docs.sparkSession, len(model.shares)
     lps = [f"lp{k}" for k in range(classes)]
-    frequent = model.table.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(model.head).toArrow()  # at most `head` words
+    # the frequent words are those above a step of the counts' logarithm, the lowest at which they are `head` at most
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = model.table.filter("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # 16 rows a doubling
+    held, lowest = 0, 1 << 30
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > model.head:
+            break
+        lowest = r["step"]
+    frequent = model.table.filter("c > 0").filter(step >= lowest).select("word", "base", *lps).toArrow()  # at most `head` words
     shared = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.stack([frequent.column(c).to_numpy() for c in ("base", *lps)], 1)))
     fixed = np.array([model.end_base, *model.ends])
     end_known = int(model.total > 0)
