@@ -154,7 +154,7 @@ def part_id(parsed: Column, manufacturer: Column) -> Column:
     from ..functions.text import namespace
 
     def plain(x: Column) -> Column:
-        m = magnitude(x)
+        m = magnitude(F.regexp_replace(x, r"^\.", "0."))
         text = F.regexp_replace(F.regexp_replace((m["num"] / m["den"]).cast("decimal(20,4)").cast("string"), r"0+$", ""), r"\.$", "")
         return F.when(x.isNotNull(), F.translate(text, ".", "-"))
 
