@@ -66,6 +66,21 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return so.top(hits.filter("score >= 0.5"), 20)
 
 
+def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item's first eight words as a question, all in one plan."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 8))).alias("term"))
+    return so.batch(table(spark, d, "documents"), q, 10)
+
+
+BM25_BATCH = f"""
+WITH q AS (SELECT item_id AS question_id, unnest(list_distinct(list_slice({tok("text")}, 1, 8))) AS term FROM benchmark),
+t AS (SELECT doc_id, {tok("text")} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
+f AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM f WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+h AS (SELECT question_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), {so.FLOOR}) * (tf * {so.K1 + 1}) / (tf + {so.K1} * (1 - {so.B} + {so.B} * dl / avgdl))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL)
+SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 10"""
+
+
 def term_df_idf(spark: SparkSession, d: str) -> DataFrame:
     return so.document_frequencies(table(spark, d, "documents"))
 
@@ -193,12 +208,13 @@ p AS (SELECT conv_id, turn, [text, CASE WHEN NOT e0 THEN n1 END, CASE WHEN NOT (
       CASE WHEN NOT (e0 OR e1 OR e2 OR e3) THEN n4 END] AS parts FROM e)
 SELECT conv_id, turn, CAST(length(array_to_string(list_filter(parts, lambda x: x IS NOT NULL), ' ')) AS BIGINT) AS chars, CAST(len(list_filter(parts, lambda x: x IS NOT NULL)) AS BIGINT) AS parts FROM p"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_phrase, bm25_weighted_columns, bm25_filtered, term_df_idf, search_dedupe_links, search_page_cap, matched_terms, snippets, second_stage_attach, unsupported_terms, element_context, join_forward)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_phrase, bm25_weighted_columns, bm25_filtered, bm25_batch, term_df_idf, search_dedupe_links, search_page_cap, matched_terms, snippets, second_stage_attach, unsupported_terms, element_context, join_forward)}
 SQL = {
     "bm25_topk": _bm25_sql(TERMS, {"text": "text"}, {"text": 1.0}),
     "bm25_phrase": _bm25_sql(PHRASES, {"text": "text"}, {"text": 1.0}),
     "bm25_weighted_columns": _bm25_sql(WEIGHTED, {c: c for c in COLUMNS}, COLUMNS),
     "bm25_filtered": _bm25_sql(TERMS, {"text": "text"}, {"text": 1.0}, "WHERE lang = 'en' AND starts_with(source, 'src1') AND score >= 0.5", 20),
+    "bm25_batch": BM25_BATCH,
     "term_df_idf": TERM_DF_IDF,
     "search_dedupe_links": SEARCH_DEDUPE_LINKS,
     "search_page_cap": SEARCH_PAGE_CAP,

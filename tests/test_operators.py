@@ -51,6 +51,15 @@ def test_search_end_to_end(spark):
         list(so.search(units, "post", filters={"colour": "x"}))
 
 
+def test_index_gives_what_the_scan_gives(spark, tmp_path):
+    units = spark.createDataFrame([(i, " ".join(w for j, w in enumerate("steel post in the ground vinyl rail cap".split()) if (i >> j) & 1)) for i in range(40)], "doc_id bigint, text string")
+    asked = {1: ["steel", "cap"], 2: ["post", "ground", "post"], 3: ["nowhere"]}
+    q = spark.createDataFrame([(k, t) for k, v in asked.items() for t in dict.fromkeys(v)], "question_id bigint, term string")
+    so.write_index(units, f"file://{tmp_path}/index")
+    rows = lambda df: sorted((r["question_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert rows(so.search_index(spark, f"file://{tmp_path}/index", asked, 5)) == rows(so.batch(units, q, 5)) != []
+
+
 def test_facts():
     found = lambda t: [(f.fact_type, f.value) for f in extract.scan_facts(t)]
     assert found("3 ft deep") == [("footing_depth_in", 36.0)]
