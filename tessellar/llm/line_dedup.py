@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import NO_ID, columns, cut, fold_ascii, strip_space
 
 MIN_CHARS, MIN_DOCS = 10, 2
+#: Parts that a key's rows are dealt to where they meet the key's standing: a line of very many documents is no one task's.
+SALTS = 8
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -32,15 +34,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row1, row2, gone): sorted positions of the lines that go.
 
-    The aggregation combines on the map side, so a line that every document holds costs a row a task; the join back
-    is an equi-join with one row a key on the other side, which adaptive execution splits where a key is hot.
+    The aggregation combines on the map side, so a line that every document holds costs a row a task. For the join
+    back, the few repeated keys are copied SALTS times and the lines dealt among the copies.
     """
     lines = cut(line_keys(keyed(columns(docs, "doc_id", "text")), min_chars), "lines")
     if min_docs == 2:
         held = lines.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("last > keeper")
     else:
         held = lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    found = lines.join(held.select("h1", "h2", "keeper"), ["h1", "h2"]).filter("id > keeper")
+    copies = held.select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("row1"), F.lit(SALTS)).cast("int"))
+    found = dealt.join(copies, ["h1", "h2", "salt"]).filter("id > keeper")
     return found.groupBy("row1", "row2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
