@@ -198,12 +198,12 @@ def revocable_promotions(spark: SparkSession, d: str) -> DataFrame:
 
 def ocr_recall(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    readings = lines(spark, d).filter("ordinal < 3").select("doc_id", F.col("source").alias("reader"), F.when(F.col("doc_id") % 4 == 0, F.reverse("line")).otherwise(F.upper("line")).alias("value"), (F.col("doc_id") % 13 == 0).alias("illegible"))
+    readings = lines(spark, d).filter("ordinal < 3").select("doc_id", F.col("source").alias("reader"), F.when(F.col("doc_id") % 4 == 0, F.reverse("line")).otherwise(F.col("line")).alias("value"), (F.col("doc_id") % 13 == 0).alias("illegible"))
     return rc.ocr_recall(readings, docs.select("doc_id", F.col("text").alias("page_text")), ["doc_id"])
 
 
 OCR_RECALL = f"""
-WITH v AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 4 = 0 THEN reverse(line) ELSE upper(line) END AS value FROM {LINES} WHERE ordinal < 3 AND doc_id % 13 <> 0)
+WITH v AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 4 = 0 THEN reverse(line) ELSE line END AS value FROM {LINES} WHERE ordinal < 3 AND doc_id % 13 <> 0)
 SELECT v.source AS reader, count(*) AS "values", count(*) FILTER (contains(lower(d.text), lower(v.value))) AS found FROM v JOIN documents d ON d.doc_id = v.id GROUP BY v.source"""
 
 
