@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _MADE = np.random.default_rng(20240229)
-_OF_BYTE = _MADE.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+OF_BYTE = _MADE.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -43,7 +43,7 @@ def _hash_step(blobs: list[bytes], drop: bytes) -> tuple[np.ndarray, np.ndarray]
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
     up, down = powers(len(data))
-    run = np.cumsum(_OF_BYTE[data] * up, dtype=np.uint64)
+    run = np.cumsum(OF_BYTE[data] * up, dtype=np.uint64)
     h = run[end - 1]
     h -= np.where(start > 0, run[start - 1], np.uint64(0))
     h *= down[start]

@@ -28,6 +28,7 @@ PRIME = 2147483647
 
 def mixed_bits(x: Column, a: Column, b: int) -> Column:
     """A pseudorandom number below PRIME, in whole-number arithmetic that any SQL engine repeats."""
+    x, a = x.cast("bigint"), a.cast("bigint")
     y = (x % PRIME * 48271 + a % PRIME * 1103515245 + b) % PRIME
     return (y * 1664525 + 1013904223) % PRIME
 
@@ -98,7 +99,9 @@ def laid_out(sizes: DataFrame, per: DataFrame, block: int = BLOCK) -> DataFrame:
     # as many buckets as a bucket has stretches of 64 words: neither level's windows outgrow a task
     n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / 64))).cast("bigint")
     d = sizes.join(per, sizes["source"].eqNullSafe(per["source"])).drop(per["source"])
-    d = d.withColumn("at", F.xxhash64("doc_id", F.lit(SEED))).withColumn("bucket", F.pmod("at", n))
+    # a bucket holds neighbours in no order of ids; in whole-number arithmetic, for the SQL twin
+    at = mixed_bits(F.abs(F.coalesce("doc_id", F.lit(0))), F.lit(SEED), 7)
+    d = d.withColumn("at", at).withColumn("bucket", F.col("at") % n)
     sums = d.groupBy("number", "bucket").agg(F.sum("size").alias("held"))
     sums = sums.withColumn("base", F.coalesce(F.sum("held").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy("number", "bucket").orderBy("at", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,3 +210,58 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> Dat
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+
+
+def _turned(given: str, name: str, x: str, n: str, key: str, back: bool) -> tuple[list[str], str]:
+    """SQL of permuted(): common table expressions, a turn each, and the last one's name."""
+    out, last = [], given
+    for i, (a, b, c, d) in enumerate(reversed(turns()) if back else turns()):
+        now = f"{name}{i}"
+        old = x if i == 0 else "px"
+        rest = "*" if i == 0 else "* EXCLUDE (px)"
+        mirror = f"(((({key} % {PRIME} * {a} + {b}) % {PRIME} * 2097143 % {n} - px) % {n} + {n}) % {n})"
+        pick = f"CASE WHEN (greatest(px, pm) % {PRIME} * {c} + {key} % {PRIME} * 7919 + {d}) % {PRIME} // 65536 % 2 = 1 THEN pm ELSE px END"
+        out.append(f"{now} AS (SELECT * EXCLUDE (px, pm), {pick} AS px FROM (SELECT *, {mirror} AS pm FROM (SELECT {rest}, {old} AS px FROM {last})))")
+        last = now
+    return out, last
+
+
+def _bits(x: str, a: str, b: int) -> str:
+    return f"((((CAST({x} AS BIGINT) % {PRIME} * 48271 + CAST({a} AS BIGINT) % {PRIME} * 1103515245 + {b}) % {PRIME}) * 1664525 + 1013904223) % {PRIME})"
+
+
+def _sql(block: int = BLOCK) -> str:
+    """What a document gives: all ranks up to its source's need are drawn in some shard, so shards are left out."""
+    cap, weights = CAP, "[" + ", ".join(map(str, WEIGHTS)) + "]"
+    before, back = _turned("s1", "bk", "blocks - 1", "blocks", "key", True)
+    after, there = _turned("ranks", "fw", "r", "blocks", "key", False)
+    w = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{w}')) AS size FROM documents),
+p0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
+p1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM p0),
+p2 AS (SELECT *, {weights}[number % {len(WEIGHTS)} + 1] AS weight, source_size * {cap} AS most, sum(source_size) OVER () * CAST({SHARE} AS DOUBLE) AS total FROM p1),
+p3 AS (SELECT *, CAST(most AS DOUBLE) / weight AS ratio FROM p2),
+p4 AS (SELECT *, (total - CAST(coalesce(sum(most) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+  / CAST(sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM p3),
+lv AS (SELECT ratio AS r0, number AS n0, level AS l0 FROM p4 WHERE level * weight <= most ORDER BY ratio, number LIMIT 1),
+p5 AS (SELECT source, number, source_size, most, CASE WHEN l0 IS NOT NULL AND (ratio > r0 OR (ratio = r0 AND number >= n0)) THEN least(l0 * weight, CAST(most AS DOUBLE)) ELSE CAST(most AS DOUBLE) END AS target FROM p4 LEFT JOIN lv ON true),
+per AS (SELECT *, CAST(least(floor(target + 0.5), most) AS BIGINT) AS quota FROM p5),
+s0 AS (SELECT *, (source_size + {block - 1}) // {block} AS blocks, quota % source_size AS rest, quota // source_size AS passes FROM per WHERE quota > 0),
+s1 AS (SELECT *, source_size - (blocks - 1) * {block} AS tail, number * 1000 + passes AS key FROM s0),
+{", ".join(before)},
+s2 AS (SELECT * EXCLUDE (px, key), px AS short_at, rest + CASE WHEN px * {block} < rest THEN {block} - tail ELSE 0 END AS room FROM {back}),
+s3 AS (SELECT *, passes * blocks + CASE WHEN rest > 0 THEN (room + {block - 1}) // {block} ELSE 0 END AS need FROM s2),
+ranks AS (SELECT *, rank // blocks AS pass, rank % blocks AS r, number * 1000 + rank // blocks AS key FROM (SELECT *, unnest(generate_series(0, need - 1)) AS rank FROM s3)),
+{", ".join(after)},
+d0 AS (SELECT number, px AS block, CASE WHEN px = blocks - 1 THEN tail ELSE {block} END AS length, pass, passes, rest, r * {block} - CASE WHEN short_at < r THEN {block} - tail ELSE 0 END AS before_r FROM {there}),
+draws AS (SELECT number, block, CASE WHEN pass < passes THEN length ELSE greatest(0, least(length, rest - before_r)) END AS take FROM d0),
+a0 AS (SELECT z.doc_id, z.size, per.number, per.source_size, per.target, {_bits("abs(coalesce(z.doc_id, 0))", str(SEED), 7)} AS spot, CAST(greatest(1, ceil(sqrt(per.source_size / 64.0))) AS BIGINT) AS n FROM z JOIN per ON z.source IS NOT DISTINCT FROM per.source),
+a1 AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY number ORDER BY spot % n, spot, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM a0),
+a2 AS (SELECT *, unnest(CASE WHEN size > 0 THEN generate_series(start // {block}, (start + size - 1) // {block}) ELSE [NULL] END) AS block FROM a1),
+a3 AS (SELECT *, greatest(start, block * {block}) - block * {block} AS off, least(start + size, (block + 1) * {block}) - greatest(start, block * {block}) AS n_piece FROM a2)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(sum(CASE WHEN size > 0 THEN greatest(0, least(n_piece, coalesce(take, 0) - off)) ELSE 0 END) AS BIGINT) AS taken
+FROM a3 LEFT JOIN draws ON a3.number = draws.number AND a3.block = draws.block GROUP BY doc_id, size, source_size, target"""
+
+
+OP9_SQL = _sql()

@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op9_source_mix": mixing.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

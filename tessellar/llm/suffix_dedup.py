@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, columns, cut, small_batches, texts
-from .hashing import _OF_BYTE, mix, powers
+from .hashing import OF_BYTE, mix, powers
 
 LENGTH, GRAM = 200, 40
 #: Bytes of text that one task scans at once, and of stretches that a shard holds.
@@ -63,7 +63,7 @@ def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int
     n, w = len(data), length - gram + 1
     up, down = powers(n + 1)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_OF_BYTE[data] * up[:n], dtype=np.uint64, out=run[1:])
+    np.cumsum(OF_BYTE[data] * up[:n], dtype=np.uint64, out=run[1:])
     grams = mix((run[gram:] - run[: n - gram + 1]) * down[: n - gram + 1])
     # a sliding minimum of (hash, place) over w k-grams, from minima that run forth and back in blocks of w
     place = np.arange(len(grams), dtype=np.uint64)
