@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,15 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that share the driver's disk import this package, whatever folder the driver started in.
+    On a cluster it is installed or sent along with spark.submit.pyFiles."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in known:
+        env["PYTHONPATH"] = ":".join([root, *known])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
