@@ -25,7 +25,7 @@ MAX_TRAIN = 8000
 CUT = 0.3
 BINS = 12
 #: Features past the hashed words: a bin of each statistic.
-STATS = ("upper", "digit", "blank", "line", "symbol", "wide", "tail", "word_length", "distinct", "most_common", "log_words", "log_chars", "declared")
+STATS = ("upper", "digit", "blank", "line", "symbol", "wide", "tail", "word_length", "distinct", "most_common", "repeat", "log_words", "log_chars", "declared")
 WIDTH = HASHED + len(STATS) * (BINS + 1)
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -33,13 +33,13 @@ _SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not
 _MARK = bytes(112 if 33 <= b < 127 and not chr(b).isalnum() else 32 if b in (9, 10, 11, 12, 13, 32) else 120 for b in range(256))
 
 
-def _statistics(b: bytes, n_words: int, distinct: int, top: int, declared: int | None) -> list[float]:
+def _statistics(b: bytes, n_words: int, distinct: int, top: int, again: int, declared: int | None) -> list[float]:
     n = max(1, len(b))
     marked = b.translate(_MARK) + b" "
     share = lambda chars: (n - len(b.translate(None, chars))) / n if b else 0.0
     w = max(1, n_words)
     scale = lambda x: np.log2(1 + max(0, x)) / 16
-    return [share(_UPPER), share(_DIGIT), share(b" "), min(1.0, 20 * share(b"\n")), min(1.0, 5 * share(_SYMBOL)), share(bytes(range(128, 256))), marked.count(b"p ") / w, min(1.0, n / w / 16), distinct / w, top / w, scale(n_words), scale(n), -1.0 if declared is None else scale(declared)]
+    return [share(_UPPER), share(_DIGIT), share(b" "), min(1.0, 20 * share(b"\n")), min(1.0, 5 * share(_SYMBOL)), share(bytes(range(128, 256))), marked.count(b"p ") / w, min(1.0, n / w / 16), distinct / w, top / w, again / w, scale(n_words), scale(n), -1.0 if declared is None else scale(declared)]
 
 
 def features(blobs: list[bytes], declared: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,10 +51,12 @@ def features(blobs: list[bytes], declared: list[int | None]) -> tuple[np.ndarray
     first = np.searchsorted(doc, np.arange(len(blobs) + 1))
     tf = 1 + np.log(count)
     norm = np.sqrt(np.maximum(1e-9, np.bincount(doc, tf * tf, len(blobs))))
+    again = np.zeros(len(h) + 1, np.int64)  # up to each word, how many repeat the one before
+    again[2:] = np.cumsum(h[1:] == h[:-1])
     stats = []
     for i, b in enumerate(blobs):
         c = count[first[i] : first[i + 1]]
-        stats.append(_statistics(b, int(at[i + 1] - at[i]), len(c), int(c.max()) if len(c) else 0, declared[i]))
+        stats.append(_statistics(b, int(at[i + 1] - at[i]), len(c), int(c.max()) if len(c) else 0, int(again[at[i + 1]] - again[min(at[i] + 1, at[i + 1])]), declared[i]))
     s = np.array(stats).reshape(len(blobs), len(STATS))
     bins = np.where(s < 0, BINS, np.minimum(BINS - 1, (np.clip(s, 0, 1) * BINS).astype(np.int64)))
     slot = HASHED + np.arange(len(STATS)) * (BINS + 1) + bins
