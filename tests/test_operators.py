@@ -108,6 +108,24 @@ def test_html():
         sd.extractor_of("x.bin")
 
 
+def test_word_boxes():
+    xml = '<html xmlns="http://www.w3.org/1999/xhtml"><doc><page><word xMin="1" yMin="2" xMax="3" yMax="4">a</word></page><page><word xMin="0" yMin="0" xMax="1" yMax="1">b</word></page></doc></html>'
+    assert sd.layout_words(xml) == [(1, "a", 1.0, 2.0, 3.0, 4.0), (2, "b", 0.0, 0.0, 1.0, 1.0)]
+    hocr = '<div><span class="ocrx_word" title="bbox 10 20 30 40; x_wconf 91">word</span><span class="ocrx_word" title="x">no</span></div>'
+    assert sd.hocr_words(hocr, 0.5) == [("word", 5.0, 10.0, 15.0, 20.0, 91.0)]
+
+
+def test_gold(spark, tmp_path):
+    from tessellar.operators import validation as va
+
+    (tmp_path / "set-a.jsonl").write_text('{"id": "q1", "question": "x", "answerable": true}\n{"id": "q2", "question": "y", "interface": "facts"}\n')
+    got = {r["id"]: (r["interface"], r["set"]) for r in va.gold(spark, f"file://{tmp_path}").collect()}
+    assert got == {"q1": ("search", "set-a"), "q2": ("facts", "set-a")}
+    (tmp_path / "set-b.jsonl").write_text('{"id": "q3", "interface": "guess"}\n')
+    with pytest.raises(Exception, match="unknown interface"):
+        va.gold(spark, f"file://{tmp_path}").collect()
+
+
 def test_docx():
     import io
     import zipfile
