@@ -13,11 +13,6 @@ def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def latest_value(rows: DataFrame, by: list[str], value: Column, order: Column, name: str) -> DataFrame:
-    """As latest(), but as an aggregate that combines on the map side: one value of each group."""
-    return rows.groupBy(*by).agg(F.max_by(value, order).alias(name))
-
-
 def next_edition(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg((F.max("edition") + 1).alias("next_edition"))
 
