@@ -14,7 +14,6 @@ from ..sources.shared import cut, importable, scratch, shared_root  # noqa: F401
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-WORD = r"[^\x20\x09-\x0D]+"
 #: Sorts a missing id before all others.
 NO_ID = -(2**63)
 #: Rows that travel to a Python worker at once; bounds its memory when texts are long.
