@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,18 +26,25 @@ def spelled(x: Column) -> Column:
     return F.trim(x)
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(x), use)[0]
+
+
 def magnitude(x: Column) -> Column:
     """struct(num, den) of the first number: mixed, plain fraction, decimal or whole; null without one."""
-    y = spelled(x)
-    mixed, frac, dec = r"(\d+)\s+(\d+)/(\d+)", r"(\d+)/(\d+)", r"(\d+)(?:\.(\d+))?"
-    g = lambda rx, k: _int(F.regexp_extract(y, rx, k))
-    places = F.length(F.regexp_extract(y, dec, 2))
-    scale = F.pow(F.lit(10), places).cast("bigint")
-    pair = lambda n, d: F.struct(n.alias("num"), d.alias("den"))
-    nothing = F.lit(None).cast("struct<num:bigint,den:bigint>")
-    out = F.when(y.rlike(mixed) & (g(mixed, 3) > 0), pair(g(mixed, 1) * g(mixed, 3) + g(mixed, 2), g(mixed, 3)))
-    out = out.when(~y.rlike(mixed) & y.rlike(frac) & (g(frac, 2) > 0), pair(g(frac, 1), g(frac, 2)))
-    return out.when(~y.rlike(frac) & y.rlike(dec), pair(g(dec, 1) * scale + F.coalesce(g(dec, 2), F.lit(0)), scale)).otherwise(nothing)
+    rx = r"(?:(\d+)\s+)?(\d+)/(\d+)|(\d+)(?:\.(\d+))?"
+    found = F.regexp_substr(spelled(x), F.lit(r"(?:\d+\s+)?\d+/\d+|\d+(?:\.\d+)?"))
+    groups = F.split(F.regexp_replace(found, f"^(?:{rx})$", "$1|$2|$3|$4|$5"), r"\|", -1)
+
+    def made(g: Column) -> Column:
+        part = lambda k: _int(g[k])
+        scale = F.pow(F.lit(10), F.length(g[4])).cast("bigint")
+        num = F.when(part(2) > 0, F.coalesce(part(0), F.lit(0)) * part(2) + part(1)).when(part(3).isNotNull(), part(3) * scale + F.coalesce(part(4), F.lit(0)))
+        den = F.when(part(2) > 0, part(2)).when(part(3).isNotNull(), scale)
+        return F.when(num.isNotNull(), F.struct(num.cast("bigint").alias("num"), den.cast("bigint").alias("den")))
+
+    return let(groups, made)
 
 
 def half_away(num: Column, den: Column) -> Column:
@@ -59,9 +68,8 @@ def milli(num: Column, den: Column, u: Column) -> Column:
 
 def measure(x: Column) -> Column:
     """struct(amount_milli, unit) of a lexeme like 96 1/8"; null without a number or a known unit."""
-    u = unit(F.regexp_extract(F.lower(spelled(x)), r"\d\s*(" + UNIT + ")", 1))
-    m = magnitude(x)
-    return F.when(u.isNotNull() & m.isNotNull(), F.struct(milli(m["num"], m["den"], u).alias("amount_milli"), u.alias("unit")))
+    both = F.struct(magnitude(x).alias("m"), unit(F.regexp_extract(F.lower(spelled(x)), r"\d\s*(" + UNIT + ")", 1)).alias("u"))
+    return let(both, lambda v: F.when(v["u"].isNotNull() & v["m"].isNotNull(), F.struct(milli(v["m"]["num"], v["m"]["den"], v["u"]).alias("amount_milli"), v["u"].alias("unit"))))
 
 
 def interval(x: Column) -> Column:

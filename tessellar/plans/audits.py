@@ -315,7 +315,8 @@ def bom_parse(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     k, s = F.col("p_partkey"), F.col("p_size").cast("string")
     x = F.when(k % 5 == 0, F.concat(F.lit("#8 X "), s, F.lit(' 1/2" SET SCREWS'))).when(k % 5 == 1, F.concat(F.lit(".875 X 3 X "), s, F.lit(" PICKET"))).when(k % 5 == 2, F.concat(F.lit("ALUMINUM CHANNEL X "), s, F.lit(" FOR 3.5 SQ. RAIL"))).when(k % 5 == 3, F.lit("FULL LENGTH - 2 RAIL")).otherwise(F.lit("ROUTED  POST"))
-    b = p.select("p_partkey", layout.parse_description(x).alias("b"))
+    # through a generator: each use of the parsed description would parse it again
+    b = p.select("p_partkey", F.explode(F.array(layout.parse_description(x))).alias("b"))
     return b.select("p_partkey", "b.pattern", "b.type_phrase", "b.section", "b.length", "b.gauge", layout.spine_type(F.col("b.type_phrase")).alias("spine"), layout.part_id(F.col("b"), F.lit("Acme & Co")).alias("part"))
 
 
