@@ -4,8 +4,8 @@ A seed is a fixed mask of word positions; words under its zeros are ignored, so
 a copied passage. Every hit fixes a diagonal (document position less item position); on it the words are compared and
 the best run, a match scoring 1 and a substitution -2, counts if it has at least ``min_match`` equal words.
 
-The benchmark is indexed in blocks of at most ``BLOCK_BYTES`` of text; a block's index is what travels to the workers,
-and a larger benchmark takes more passes over the documents. Document texts are never shuffled.
+The benchmark is indexed in blocks of about ``BLOCK_BYTES`` of text; a block's index, some ten times that, is what
+travels to the workers, and a larger benchmark takes more passes over the documents. Document texts are never shuffled.
 
 Results in the odd cases: null and empty texts and items match nothing; an item or passage under ``min_match`` words
 cannot match unless the whole item is shorter: then all of it must be there, with ``SHORT`` words at least; a row for
@@ -25,7 +25,7 @@ from .hashing import runs, word_hashes
 
 MASKS = ("110100110011", "1110010101", "11101101")
 MIN_MATCH, SHORT = 12, 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 DROP = b".,;:!?\"'()[]{}*#_-"
 FILTER_BITS = 22
 OUT = "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, n_match bigint"
