@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_jaccard_join": jaccard_join.OP2_SQL,
+    "op7_suffix_dedup": suffix_dedup.OP7_SQL,
     "op9_source_mix": mixing.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

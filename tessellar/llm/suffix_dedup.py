@@ -383,3 +383,17 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
 def op7_suffix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+h AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM (SELECT doc_id, x, unnest(generate_series(0, n - 200)) AS i FROM d WHERE n >= 200)),
+m AS (SELECT doc_id, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM m)),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM sp UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(n) FROM d LEFT JOIN sp ON sp.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT gaps.doc_id, string_agg(substr(x, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)), '' ORDER BY s) AS x FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY gaps.doc_id),
+c AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
