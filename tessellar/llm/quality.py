@@ -138,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     return fit(starts, flat(index, np.int32), flat([np.frombuffer(r["x"], np.float32) for r in got], np.float32), np.array([r["quality"] for r in got], np.float32))
 
 
-def scored(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs with a column score added (and one of that name replaced)."""
+def scored(docs: DataFrame, model: tuple, name: str = "score") -> DataFrame:
+    """docs with a column `name` added (and one of that name replaced): how likely label 1 is."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # of fixed size: WIDTH * (FACTORS + 1) numbers
-    keep = [f for f in docs.schema.fields if f.name != "score"]
+    keep = [f for f in docs.schema.fields if f.name != name]
     spare = [c for c in ("text", "n_chars") if c not in docs.columns]
     full = docs.select(*[docs[f.name] for f in keep], *[F.lit(None).cast("string").alias(c) for c in spare])
 
@@ -155,16 +155,16 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
                 declared = [None if x is None else int(x) for x in b.column("n_chars").to_pylist()]
                 z, _ = forward(shared.value, *features(texts(b), declared))
                 s = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(f.name) for f in keep] + [pa.array(s, pa.float64())], names=[f.name for f in keep] + ["score"])
+                yield pa.RecordBatch.from_arrays([b.column(f.name) for f in keep] + [pa.array(s, pa.float64())], names=[f.name for f in keep] + [name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return full.mapInArrow(score, StructType([*keep, StructField("score", DoubleType())]))
+    return full.mapInArrow(score, StructType([*keep, StructField(name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents that the classifier does not reject, with their columns as they were."""
-    return scored(docs, train(docs, labels)).filter(F.col("score") >= cut).select(*docs.columns)
+    return scored(docs, train(docs, labels), "_likely").filter(F.col("_likely") >= cut).select(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -323,7 +323,8 @@ def test_quality(spark, docs, none):
     assert quality.scored(none, model).count() == 0
     untrained = quality.train(rows, labels.limit(0))
     assert {round(r["score"], 1) for r in quality.scored(rows.limit(3), untrained).collect()} == {0.5}
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {"y"}
 
 
 def test_factorisation_identity():
