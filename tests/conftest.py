@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
+os.environ["PYTHONPATH"] = ":".join(filter(None, [sys.path[0], os.environ.get("PYTHONPATH", "")]))
 
 
 @pytest.fixture(scope="session")
