@@ -311,6 +311,9 @@ def step_split(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("segment")).alias("chars"))
 
 
+STEPS = f"SELECT doc_id, count(*) AS segments, CAST(sum(length(rtrim('• ' || line, chr(32) || chr(9) || chr(13)))) AS BIGINT) AS chars FROM {LINES} GROUP BY doc_id"
+
+
 def bom_parse(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     k, s = F.col("p_partkey"), F.col("p_size").cast("string")
@@ -389,7 +392,7 @@ _Q = {
     store_stats: " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "pages", "benchmark", "labels", "conversations", "events")),
     coverage_rollup: COVERAGE, duplicate_share: DUPLICATE_SHARE, distribution_subsets: SUBSETS,
     gc_orphans: "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT item_id FROM benchmark) AND doc_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
-    dataset_changes: CHANGES, ingest_partition: INGEST, html_blocks: None, html_headings: HTML_HEADINGS, unit_merge: None, unit_islands: ISLANDS, heading_fallback: None, fact_scan: FACTS, fact_conditions: None, step_split: None,
+    dataset_changes: CHANGES, ingest_partition: INGEST, html_blocks: None, html_headings: HTML_HEADINGS, unit_merge: None, unit_islands: ISLANDS, heading_fallback: None, fact_scan: FACTS, fact_conditions: None, step_split: STEPS,
     bom_parse: BOM, nearest_caption: CAPTION, numbered_flow_pair: NUMBERED, outside_regions: OUTSIDE_REGIONS, column_edges: None, layout_roles: ROLES,
 }
 QUERIES = {f.__name__: f for f in _Q}

@@ -208,6 +208,11 @@ p AS (SELECT conv_id, turn, [text, CASE WHEN NOT e0 THEN n1 END, CASE WHEN NOT (
       CASE WHEN NOT (e0 OR e1 OR e2 OR e3) THEN n4 END] AS parts FROM e)
 SELECT conv_id, turn, CAST(length(array_to_string(list_filter(parts, lambda x: x IS NOT NULL), ' ')) AS BIGINT) AS chars, CAST(len(list_filter(parts, lambda x: x IS NOT NULL)) AS BIGINT) AS parts FROM p"""
 
+SNIPPETS = f"""
+WITH h AS ({_bm25_sql(TERMS, {"text": "text"}, {"text": 1.0}, limit=20)}), t AS (SELECT doc_id, {tok("text")} AS t FROM documents),
+f AS (SELECT doc_id, t, coalesce(list_min(list_filter(generate_series(1, len(t)), lambda i: list_contains({"[" + ", ".join(f"'{w}'" for q in TERMS for w in q.words) + "]"}, t[i]))) - 1, 0) AS hit FROM t)
+SELECT h.doc_id, h.score, array_to_string(list_slice(t, greatest(1, hit - 6), greatest(1, hit - 6) + 27), ' ') AS snippet FROM h JOIN f ON f.doc_id = h.doc_id"""
+
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_phrase, bm25_weighted_columns, bm25_filtered, bm25_batch, term_df_idf, search_dedupe_links, search_page_cap, matched_terms, snippets, second_stage_attach, unsupported_terms, element_context, join_forward)}
 SQL = {
     "bm25_topk": _bm25_sql(TERMS, {"text": "text"}, {"text": 1.0}),
@@ -219,6 +224,7 @@ SQL = {
     "search_dedupe_links": SEARCH_DEDUPE_LINKS,
     "search_page_cap": SEARCH_PAGE_CAP,
     "matched_terms": MATCHED_TERMS,
+    "snippets": SNIPPETS,
     "unsupported_terms": UNSUPPORTED_TERMS,
     "element_context": ELEMENT_CONTEXT,
     "join_forward": JOIN_FORWARD,
