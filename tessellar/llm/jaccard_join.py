@@ -7,7 +7,8 @@ a key of the one-deletion neighbourhood is that sum less one of them. A cost mod
 
 Keys that meet give candidates; a key's members are tied to its smallest one, so a key of g sets gives g - 1 pairs.
 Candidates' connected components are verified exactly and in full, each in tasks of bounded size: components that are
-larger are dealt into blocks, and each pair of blocks is one task. In a task, a prefix index over the rarest shingles
+larger are dealt into blocks, and each pair of blocks is one task. A component of more than ``MANY`` blocks is dealt by
+its keys instead, as two linked sets share one: more copies of each set, but no longer all pairs of blocks. In a task, a prefix index over the rarest shingles
 finds pairs, and their true overlap decides. Sets that are equal are one class throughout.
 
 Shingles are 64-bit hashes, classes 128 bits and the size. In bands of more than ``PLAIN`` segments, segments of one
@@ -36,6 +37,8 @@ from .hashing import mix, shingles, word_hashes
 BAND, PLAIN, WEIGHT = 1.3, 16, 20.0
 #: Shingles that one verifying task holds of either block.
 BLOCK_SHINGLES = 2_000_000
+#: Blocks of a component up to which all their pairs are cheaper than a copy of each set for each of its keys.
+MANY = 64
 SEEN = 500_000
 #: Bits of the filter that tells, before texts are hashed again, which ids are wanted: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
@@ -187,16 +190,23 @@ def verified_edges(ids: list[int], side: list[int] | None, sets: list[np.ndarray
     return out
 
 
-def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES, many: int = MANY) -> DataFrame:
     """(a, b): links between the smallest ids of classes, enough to connect all that is linked."""
     groups = candidate_groups(found)
     # a class in a group ships its set once, from its smallest document
     reps = found.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("id"))
     members = cut(reps.join(groups, reps["c1"] == groups["node"]).select("id", "n", "c1", "c2", "component"), "members")
-    weight = members.groupBy("component").agg(F.sum("n").alias("all"))
-    blocks = members.join(weight, "component").withColumn("blocks", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
+    weight = members.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
+    sized = members.join(weight, "component")
+    blocks = sized.filter(F.col("blocks") <= many).select("id", "c2", F.lit(False).alias("by_key"), F.col("component").alias("home"), "blocks")
+    if weight.filter(F.col("blocks") > many).limit(1).count():  # else no key is read again
+        vast = sized.filter(F.col("blocks") > many).select("id", "c1", "c2", "n")
+        keys = found.select("c1", F.explode("keys").alias("home")).join(vast.select("c1").distinct(), "c1", "left_semi").distinct()
+        near = keys.join(vast, "c1")
+        per_key = near.groupBy("home").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"), F.count("*").alias("members")).filter("members > 1")
+        blocks = blocks.unionByName(near.join(per_key, "home").select("id", "c2", F.lit(True).alias("by_key"), "home", "blocks"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", "c2"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     # texts are not shuffled: a filter of fixed size picks the rows to hash again, and the join on ids decides
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     bits = members.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
@@ -220,9 +230,9 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) -> Data
             c2 = [int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "c2", "s"])
 
-    sets = d.mapInArrow(shingled, "id bigint, c2 bigint, s binary")
-    full = blocks.select("id", "c2", "component", "block", "blocks").join(sets, ["id", "c2"]).dropDuplicates(["id", "c2"])
-    full = full.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "s")
+    sets = d.mapInArrow(shingled, "id bigint, c2 bigint, s binary").dropDuplicates(["id", "c2"])
+    full = blocks.join(sets, ["id", "c2"]).withColumn("other", other)
+    full = full.select("by_key", "home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "s")
 
     def verify(t):
         import pyarrow as pa
@@ -235,13 +245,13 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) -> Data
         a, b = zip(*got, strict=True) if got else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("component", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+    return full.groupBy("by_key", "home", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_shingles: int = BLOCK_SHINGLES, many: int = MANY) -> DataFrame:
     """(id, doc_id, n_shingles, component_id), a row a document row."""
     found = sketches(docs, k, num, den)
-    edges = links(docs, found, k, num, den)
+    edges = links(docs, found, k, num, den, block_shingles, many)
     # copies: each row of a class is tied to the class's smallest id
     classes = found.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = found.filter("n > 0").join(classes.filter("last > rep"), ["c1", "c2", "n"]).filter("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

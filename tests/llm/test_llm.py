@@ -83,8 +83,8 @@ def tokens(t):
     return (t or "").encode().lower().split()
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (2, 50)])
-def test_jaccard(docs, none, k, num):
+@pytest.mark.parametrize(("k", "num", "bounds"), [(3, 90, {}), (5, 80, {}), (2, 50, {}), (2, 50, {"block_shingles": 300}), (3, 80, {"block_shingles": 300, "many": 1})])
+def test_jaccard(docs, none, k, num, bounds):
     sets = collections.defaultdict(set)
     for i, t, *_ in ROWS:
         w = tokens(t)
@@ -102,7 +102,7 @@ def test_jaccard(docs, none, k, num):
             if a < b and any(s and t and 100 * len(s & t) >= num * len(s | t) for s in sets[a] for t in sets[b]):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
-    got = jaccard_join.near_duplicates(docs, k, num, 100).collect()
+    got = jaccard_join.near_duplicates(docs, k, num, 100, **bounds).collect()
     assert len(got) == len(ROWS)
     for r in got:
         i = -1 if r["doc_id"] is None else r["doc_id"]
