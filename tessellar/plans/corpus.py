@@ -201,7 +201,7 @@ EXPIRY = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'unknown' WHEN s
 
 
 def date_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_id % 40 < 3").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("value"), F.when(F.col("event_id") % 11 == 0, "flagged").when(F.col("event_id") % 2 == 0, "accepted").otherwise("corrected").alias("status"))
+    e = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("value"), F.when(F.col("event_id") % 11 == 0, "flagged").when(F.col("event_id") % 2 == 0, "accepted").otherwise("corrected").alias("status"))
     return versions.agreement(e, ["user_id"], "value", "status")
 
 
