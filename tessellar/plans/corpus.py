@@ -46,8 +46,8 @@ SELECT doc_id, length(text) >= 200
 
 
 def lang_detect(spark: SparkSession, d: str) -> DataFrame:
-    one = F.substring("text", 1, 400)
-    return table(spark, d, "documents").select("doc_id", tx.detect_lang(one).alias("lang"), tx.lang_basis(tx.detect_lang(one)).alias("basis"))
+    lang = tx.detect_lang(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", lang.alias("lang"), tx.lang_basis(lang).alias("basis"))
 
 
 def _markers(lang: str) -> str:

@@ -198,7 +198,7 @@ def revocable_promotions(spark: SparkSession, d: str) -> DataFrame:
 
 def ocr_recall(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    readings = lines(spark, d).filter("ordinal < 3").select("doc_id", F.col("source").alias("reader"), F.when(F.col("doc_id") % 4 == 0, F.reverse("line")).otherwise(F.col("line")).alias("value"), (F.col("doc_id") % 13 == 0).alias("illegible"))
+    readings = lines(spark, d).select("doc_id", F.col("source").alias("reader"), F.when(F.col("doc_id") % 4 == 0, F.reverse("line")).otherwise(F.col("line")).alias("value"), (F.col("doc_id") % 13 == 0).alias("illegible"))
     return rc.ocr_recall(readings, docs.select("doc_id", F.col("text").alias("page_text")), ["doc_id"])
 
 

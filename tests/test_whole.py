@@ -20,6 +20,8 @@ CUTS = {
     "rule_collisions": RULES,
     "dated_collisions": RULES,
     "date_conflicts": (" WHERE event_id % 40 < 3", ""),
+    "lang_detect": ("substr(text, 1, 400)", "text"),
+    "ocr_recall": ("ordinal < 3 AND ", ""),
 }
 
 
