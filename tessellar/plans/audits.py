@@ -88,7 +88,7 @@ SHARED = """
 WITH v AS (SELECT source, string_agg(DISTINCT lpad(CAST(doc_id AS VARCHAR), 9, '0'), ',' ORDER BY lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS c FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 GROUP BY source)
 SELECT doc_id, coalesce(c, '') AS cited_by FROM documents LEFT JOIN v USING (source)"""
 
-# ---- evaluation: a question is the first words of a benchmark item, its answers the documents that hold the item
+# ---- evaluation: a question is the words of a benchmark item, its answers the documents that hold the item
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
@@ -102,8 +102,8 @@ def _relevant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """The ten documents that share most of a question's first eight words (each counted once), ties by id."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 8))).alias("term"))
+    """The ten documents that share most of a question's words (each counted once), ties by id."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     p = so.postings(table(spark, d, "documents"))
     idf = p.groupBy("term").agg(F.count("*").alias("df"))
     hits = q.join(p, "term").join(idf, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum(1 / F.col("df")), 9).alias("score"))

@@ -67,8 +67,8 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every benchmark item's first eight words as a question, all in one plan."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 8))).alias("term"))
+    """Every benchmark item's words as a question, all in one plan."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     return so.batch(table(spark, d, "documents"), q, 10)
 
 
@@ -158,8 +158,8 @@ def second_stage_attach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unsupported_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item as a question, its second word altered: is every term known to the documents?"""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 6)).alias("t"))
+    """Each benchmark item as a question, every fourth with an unknown word added: is every term known to the documents?"""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_distinct(tx.tokens(F.col("text"))).alias("t"))
     q = q.withColumn("t", F.when(F.col("question_id") % 4 == 0, F.array_append("t", F.lit("zzzunknown"))).otherwise(F.col("t")))
     terms = q.select("question_id", F.explode_outer("t").alias("term"))
     return so.unsupported(terms, so.postings(table(spark, d, "documents")).select("term").distinct())

@@ -22,6 +22,8 @@ CUTS = {
     "date_conflicts": (" WHERE event_id % 40 < 3", ""),
     "lang_detect": ("substr(text, 1, 400)", "text"),
     "ocr_recall": ("ordinal < 3 AND ", ""),
+    "unsupported_terms": (", 1, 6)", ", 1, 1000000)"),
+    **dict.fromkeys(("bm25_batch", "question_ranks", "recall_mrr", "evidence_support", "result_shares", "page_ceiling"), (", 1, 8)", ", 1, 1000000)")),
 }
 
 
