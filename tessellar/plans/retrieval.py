@@ -93,10 +93,11 @@ SELECT term, count(*) AS df, round(ln(1 + any_value(n) / (1 + count(*))), 6) AS
 COMMON = [so.Term(("the",), "the")]
 
 
-def _ranked(spark: SparkSession, d: str, k: int = 400) -> DataFrame:
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """All matches by rank; equal texts have equal hashes."""
     docs = table(spark, d, "documents")
-    r = so.ranked(so.bm25(docs, COMMON), k)
-    return r.join(docs.select("doc_id", "source", "lang", "text"), "doc_id").withColumn("dedupe_key", so.dedupe_key(F.col("text"), F.col("lang")))
+    r = so.ranked_all(so.bm25(docs, COMMON))
+    return r.join(docs.select("doc_id", "source", "lang", F.sha2(so.dedupe_key(F.col("text"), F.col("lang")), 256).alias("dedupe_key")), "doc_id")
 
 
 RANKED = _bm25_sql(COMMON, {"text": "text"}, {"text": 1.0}, limit=400)

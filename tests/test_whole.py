@@ -6,11 +6,11 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 from tessellar.plans import catalogue  # noqa: E402
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
 
 RULES = (" WHERE l_orderkey % 997 < 3", "")
 #: query: what its SQL cuts, and the same without the cut
@@ -24,6 +24,7 @@ CUTS = {
     "ocr_recall": ("ordinal < 3 AND ", ""),
     "unsupported_terms": (", 1, 6)", ", 1, 1000000)"),
     **dict.fromkeys(("bm25_batch", "question_ranks", "recall_mrr", "evidence_support", "result_shares", "page_ceiling"), (", 1, 8)", ", 1, 1000000)")),
+    **dict.fromkeys(("search_dedupe_links", "search_page_cap"), (" LIMIT 400", "")),
 }
 
 
@@ -34,13 +35,24 @@ def plain(v):
 @pytest.mark.parametrize("name", list(CUTS))
 def test_whole(spark, name):
     con, (cut, whole) = duckdb.connect(), CUTS[name]
+    folder = LARGER if name.startswith("search_") else FOLDER  # more than 400 matches
     for t in ("lineitem", "orders", "documents", "benchmark", "events"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     assert cut in catalogue.SQL[name]
-    df = catalogue.QUERIES[name](spark, FOLDER)
+    df = catalogue.QUERIES[name](spark, folder)
     cols = sorted(df.columns)
     rel = con.sql(catalogue.SQL[name].replace(cut, whole))
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     want = collections.Counter(repr(tuple(plain(r[i]) for i in at)) for r in rel.fetchall())
     assert collections.Counter(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect()) == want
+
+
+def test_copies_beyond_the_first_ranks(spark, tmp_path):
+    """500 copies stand before 120 other matches: the list is full, and every copy is linked."""
+    rows = [(i, "the the the", "en", "s", 11) for i in range(500)] + [(500 + i, f"the the w{i} and more words", "en", "s", 20) for i in range(120)]
+    rows += [(620 + i, "nothing of it", "en", "s", 13) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["search_dedupe_links"](spark, f"file://{tmp_path}").collect()
+    assert len(got) == 100
+    assert max(len(r["linked"].split(",")) for r in got) == 499
