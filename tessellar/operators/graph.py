@@ -42,19 +42,24 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def ranks(edges: DataFrame, bound: int) -> DataFrame:
-    """edges (older, newer) -> (node, rank): steps of the longest path that leads to it, at most `bound` (so a cycle
-    ends). Each turn relaxes all edges at once."""
+def ranks(edges: DataFrame, bound: int | None = None) -> DataFrame:
+    """edges (older, newer) -> (node, rank): steps of the longest path that leads to it. Each turn relaxes all edges at
+    once, until nothing changes. No rank exceeds the nodes of its component (so a cycle ends), nor `bound` if given."""
     nodes = edges.select(F.col("older").alias("node")).unionByName(edges.select(F.col("newer").alias("node"))).distinct()
-    now = cut(nodes.withColumn("rank", F.lit(0).cast("bigint")), "ranks")
-    for _ in range(bound):
+    if bound is None:
+        parts = components(edges.select(F.col("older").alias("a"), F.col("newer").alias("b")))
+        sizes = parts.join(parts.groupBy("component").agg(F.count("*").alias("most")), "component").select("node", "most")
+        limits = nodes.join(sizes, "node", "left").withColumn("most", F.coalesce("most", F.lit(1).cast("bigint")))
+    else:
+        limits = nodes.withColumn("most", F.lit(bound).cast("bigint"))
+    now = cut(limits.withColumn("rank", F.lit(0).cast("bigint")), "ranks")
+    while True:
         step = edges.join(now, edges["older"] == now["node"]).groupBy(F.col("newer").alias("node")).agg((F.max("rank") + 1).alias("r"))
-        new = cut(now.join(step, "node", "left").select("node", F.least(F.greatest("rank", F.coalesce("r", F.lit(0))), F.lit(bound).cast("bigint")).alias("rank")), "ranks")
-        changed = new.join(now.withColumnRenamed("rank", "was"), "node").filter("rank <> was").limit(1).count()
+        new = cut(now.join(step, "node", "left").select("node", "most", F.least(F.greatest("rank", F.coalesce("r", F.lit(0))), "most").alias("rank")), "ranks")
+        changed = new.join(now.select("node", F.col("rank").alias("was")), "node").filter("rank <> was").limit(1).count()
         now = new
         if not changed:
-            break
-    return now
+            return now.select("node", "rank")
 
 
 def linked_duplicates(rows: DataFrame, key: Column, identity: str) -> DataFrame:

@@ -232,7 +232,7 @@ SELECT node, min(reach) AS component FROM r GROUP BY node"""
 
 
 def supersession_rank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.ranks(_chains(spark, d).select(F.col("b").alias("older"), F.col("a").alias("newer")), 64)
+    return graph.ranks(_chains(spark, d).select(F.col("b").alias("older"), F.col("a").alias("newer")))
 
 
 RANK = f"""

@@ -56,3 +56,12 @@ def test_copies_beyond_the_first_ranks(spark, tmp_path):
     got = catalogue.QUERIES["search_dedupe_links"](spark, f"file://{tmp_path}").collect()
     assert len(got) == 100
     assert max(len(r["linked"].split(",")) for r in got) == 499
+
+
+def test_ranks_of_long_chains_and_cycles(spark):
+    from tessellar.operators import graph
+
+    edges = [(i, i + 1) for i in range(70)] + [(100, 101), (101, 102), (102, 100)]
+    got = {r["node"]: r["rank"] for r in graph.ranks(spark.createDataFrame(edges, "older bigint, newer bigint")).collect()}
+    assert {i: got[i] for i in range(71)} == {i: i for i in range(71)}
+    assert [got[i] for i in (100, 101, 102)] == [3, 3, 3]
