@@ -4,9 +4,9 @@ Words that occur once in both texts anchor an alignment; the longest increasing
 between them are aligned in the same way (after taking equal words at a gap's ends). Coverage is the share of the
 template's words that are aligned.
 
-A document is cut to stretches first: around its words that are telling for a template (in it, and not a common word),
-no further apart than the template is long. The stretches hold every alignment that could reach ``MIN_COVERAGE``, and
-a notice that repeats is aligned in each of its places.
+A document is aligned in windows from its words that are telling for a template (in it, and not a common word) on. They
+grow to the whole text, so text in between does not hide a license. Every place that reaches ``MIN_COVERAGE`` is
+reported in ``places``, of every template, and the other columns have the best of them.
 
 Results in the odd cases: null and empty texts have no license (null, coverage 0); of equal coverage the longer
 template wins, then its name; every row is reported, rows that repeat too; an empty table gives an empty table; other
@@ -15,7 +15,7 @@ columns are never read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +43,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 COMMON = frozenset(b"a an and any are as at be by do for from in is it may no not of on or other that the this to under use with you work all but either more see".split())
-OUT = "doc_id bigint, license string, coverage double, n_matched bigint, n_words bigint, first_word bigint, last_word bigint"
+OUT = "doc_id bigint, license string, coverage double, n_matched bigint, n_words bigint, first_word bigint, last_word bigint, places array<struct<license:string,coverage:double,n_matched:bigint,n_words:bigint,first_word:bigint,last_word:bigint>>"
 
 
 def folded(text: bytes) -> list[bytes]:
@@ -102,46 +102,91 @@ class Scanner:
         for name, t in self.templates.items():
             for w in set(t) - COMMON or set(t):
                 self.telling.setdefault(w, []).append(name)
+        self.bags = {n: Counter(t) for n, t in self.templates.items()}
+        self.known = {w for t in self.templates.values() for w in t}
         self.least = {n: max(1, sum(w not in COMMON for w in t) - int((1 - min_coverage) * len(t) + 1e-9)) for n, t in self.templates.items()}
 
-    def stretches(self, found: list[tuple[int, str]]) -> Iterator[tuple[str, int, int]]:
-        places: dict[str, list[int]] = {}
-        for i, name in found:
-            places.setdefault(name, []).append(i)
-        for name, at in places.items():
-            size, run = len(self.templates[name]), [at[0]]
-            for p in [*at[1:], None]:
-                if p is not None and p - run[-1] <= size:
-                    run.append(p)
-                    continue
-                if len(run) >= self.least[name]:
-                    yield name, max(0, run[0] - size), run[-1] + size + 1
-                if p is not None:
-                    run = [p]
+    def candidates(self, name: str, words: list[bytes], at: list[int], reach: int) -> Iterator[tuple[int, ...]]:
+        """(-matched, span, first, last, low, high) of alignments that reach the coverage, in windows of `reach` words
+        from a telling word on and a template's length before it. Wide windows overlap by seven eighths."""
+        t, least, bag, last = self.templates[name], self.least[name], self.bags[name], None
+        for k in range(len(at) - least + 1):
+            if at[k + least - 1] - at[k] >= reach or (last is not None and reach > 2 * len(t) and at[k] - last < reach // 8):
+                continue
+            last = at[k]
+            low, high = max(0, at[k] - len(t)), at[k] + reach
+            part = words[low:high]
+            if (Counter(part) & bag).total() >= self.min_coverage * len(t):
+                got = align(part, t)
+                if len(got) >= self.min_coverage * len(t):
+                    yield -len(got), got[-1][0] - got[0][0], low + got[0][0], low + got[-1][0], low, high
+
+    def widened(self, name: str, words: list[bytes], at: list[int], place: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The place, or an alignment of more words: around it, as far as telling words are no further apart than the template is long."""
+        t, (low, high) = self.templates[name], (place[0][0], place[-1][0])
+        i, j = bisect_left(at, low), bisect_right(at, high)
+        while i and low - at[i - 1] <= len(t):
+            i -= 1
+            low = at[i]
+        while j < len(at) and at[j] - high <= len(t):
+            high = at[j]
+            j += 1
+        low = max(0, low - len(t))
+        got = align(words[low : high + len(t) + 1], t)
+        return [(x + low, y) for x, y in got] if len(got) > len(place) else place
+
+    def places(self, text: bytes) -> list[tuple]:
+        """(name, coverage, matched, words, first, last) of every place of every template, best first.
+
+        Windows grow from a place's usual length to the whole text, so a license that other text interrupts is found
+        too; words of a place are taken out before the next window is looked at.
+        """
+        words, out = folded(text), []
+        where: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            for n in self.telling.get(w, ()):
+                where.setdefault(n, []).append(i)
+        bag = Counter(w for w in words if w in self.known)
+        for name, at in where.items():
+            t, least = self.templates[name], self.least[name]
+            if len(at) < least or (bag & self.bags[name]).total() < self.min_coverage * len(t):
+                continue
+            own, reach = words.copy(), len(t) + len(t) // 2
+            while len(at) >= least:
+                fresh, firsts, lasts = [], [], []
+                for *_, first, last, low, high in sorted(self.candidates(name, own, at, reach)):
+                    k = bisect_left(firsts, first)
+                    if (k and lasts[k - 1] >= first) or (k < len(firsts) and firsts[k] <= last):
+                        continue  # it overlaps a better one
+                    firsts.insert(k, first)
+                    lasts.insert(k, last)
+                    fresh.append([(i + low, j) for i, j in align(own[low:high], t)])
+                for got in fresh:
+                    for i, _ in got:
+                        own[i] = b""
+                at = [i for i in at if own[i]]
+                for got in fresh:
+                    if len(got) < len(t):
+                        for i, j in got:
+                            own[i] = t[j]
+                        got = self.widened(name, own, at, got)
+                        for i, _ in got:
+                            own[i] = b""
+                    out.append((name, len(got) / len(t), len(got), len(t), got[0][0], got[-1][0]))
+                at = [i for i in at if own[i]]
+                if not fresh:
+                    if reach >= len(words):
+                        break
+                    reach *= 2
+        return sorted(out, key=lambda p: (-p[1], -p[3], p[0], p[4]))
 
     def scan(self, text: bytes) -> tuple | None:
-        """(name, coverage, matched, words, first, last) of the best template in the text."""
-        words, best = folded(text), None
-        found = [(i, n) for i, w in enumerate(words) if w in self.telling for n in self.telling[w]]
-        for name, low, high in self.stretches(found):
-            t = self.templates[name]
-            part = words[low:high]
-            got = align(part, t)
-            if len(got) < self.min_coverage * len(t) and len(part) > 2 * len(t):
-                # words that repeat in a long stretch anchor nothing: align around each place of the telling words
-                for p in range(0, len(part) - len(t) + 1, max(1, len(t) // 4)):
-                    near = align(part[p : p + len(t) + len(t) // 2], t)
-                    if len(near) > len(got):
-                        got = [(i + p, j) for i, j in near]
-            if len(got) >= self.min_coverage * len(t):
-                key = (len(got) / len(t), len(t), name)
-                if best is None or (key[0], key[1]) > (best[0][0], best[0][1]) or ((key[0], key[1]) == (best[0][0], best[0][1]) and name < best[0][2]):
-                    best = (key, (name, key[0], len(got), len(t), low + got[0][0], low + got[-1][0]))
-        return best and best[1]
+        """(name, coverage, matched, words, first, last) of the best place in the text."""
+        return next(iter(self.places(text)), None)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """A row a document: the best license found in it, if any covers min_coverage, with its place in words."""
+    """A row a document: the best license found in it, if any covers min_coverage, with its place in words; and all places."""
     spark = docs.sparkSession
     small_batches(spark)
     scanner = Scanner(TEMPLATES if templates is None else templates, min_coverage)
@@ -150,10 +195,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
         import pyarrow as pa
 
         names = [c.split()[0] for c in OUT.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 4]
+        one = [pa.string(), pa.float64(), *[pa.int64()] * 4]
+        place = pa.struct(list(zip(names[1:7], one, strict=True)))
+        kinds = [pa.int64(), *one, pa.list_(place)]
         for b in batches:
             if b.num_rows:
-                rows = [scanner.scan(x) or (None, 0.0, 0, None, None, None) for x in texts(b)]
+                found = [scanner.places(x) for x in texts(b)]
+                rows = [(*(p[0] if p else (None, 0.0, 0, None, None, None)), [dict(zip(names[1:7], q, strict=True)) for q in p]) for p in found]
                 cols = [b.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
