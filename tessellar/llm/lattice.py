@@ -40,7 +40,7 @@ from .hashing import mix
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 100_000
 CLASSES, BACK = 7, 0.2
-PASSES, PRIOR, LONGEST = 3, 500.0, 12
+PASSES, PRIOR = 3, 500.0
 FLUSH = 250_000
 BITS = 22
 STEP = 4096
@@ -61,7 +61,7 @@ def load_pieces(path: str) -> dict[bytes, float]:
         if p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i):
             continue
         s = p.id_to_piece(i).replace("▁", " ").encode()
-        if b" " in s[1:] or s.lower() != s or not 0 < len(s) <= LONGEST or s == b" ":
+        if b" " in s[1:] or s.lower() != s or s in (b"", b" "):
             continue
         out[s] = 1.0 / (10.0 - p.get_score(i)) if p.get_score(i) <= 0 else float(np.exp(p.get_score(i)))
     return out
@@ -78,6 +78,7 @@ class Lattice:
             pieces.setdefault(bytes([b]), 1e-7)
         pieces.setdefault(b" ", 1e-3)
         self.pieces = sorted(pieces)
+        self.longest = max(map(len, self.pieces))
         self.starts = np.array([p[:1] == b" " for p in self.pieces] + [False])
         weight = np.array([pieces[p] for p in self.pieces] + [0.0])
         weight[-1] = 0.4 * weight[~self.starts].sum()
@@ -112,7 +113,7 @@ class Lattice:
         h = np.zeros((n, width), np.uint64)
         values = _T[data]
         out = []
-        for size in range(1, min(LONGEST, width) + 1):
+        for size in range(1, min(self.longest, width) + 1):
             h = h[:, : width - size + 1] * _B + values[:, size - 1 :]
             full = mix(h + np.uint64(size))
             w, s = np.nonzero(self.bits[full >> np.uint64(64 - BITS)])
