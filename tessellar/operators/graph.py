@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_ws
-from ..sources.shared import cut
+from ..sources.shared import cut, discard
 
 MAX_ROUNDS = 60
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _lowered(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _lowered(large)
         small = near.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = cut(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        old, now = now, cut(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        discard(old)
         # order-free digest of the edge set
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (seen["n"], seen["s"]) == mark:
@@ -57,6 +58,7 @@ def ranks(edges: DataFrame, bound: int | None = None) -> DataFrame:
         step = edges.join(now, edges["older"] == now["node"]).groupBy(F.col("newer").alias("node")).agg((F.max("rank") + 1).alias("r"))
         new = cut(now.join(step, "node", "left").select("node", "most", F.least(F.greatest("rank", F.coalesce("r", F.lit(0))), "most").alias("rank")), "ranks")
         changed = new.join(now.select("node", F.col("rank").alias("was")), "node").filter("rank <> was").limit(1).count()
+        discard(now)
         now = new
         if not changed:
             return now.select("node", "rank")
