@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, importable, scratch, shared_root  # noqa: F401
+from ..sources.shared import cut, discard, importable, scratch, shared_root  # noqa: F401
 
 #: Bytes 0x20 and 0x09-0x0D: the white space of every contract here.
 SPACE = " \t\n\x0b\x0c\r"

@@ -1,32 +1,35 @@
 """Suffix-array dedup: bytes covered by a string of ``LENGTH`` bytes that starts more than once go.
 
-Which strings can repeat is found first: of each window of LENGTH bytes, the anchor is the k-gram of least hash in it
-(the leftmost of equals). Equal windows have equal anchors at equal offsets, so a window whose anchor's k-gram occurs
-once is unique. Neighbouring windows share an anchor; the bytes they span are the anchor's stretch. Equal stretches are
-counted together, and those of k-grams that repeat go to shards, all of one k-gram to one shard.
-
-A shard's suffix array is built by Larsson-Sadakane refinement: ranks by 8 bytes, then doubled, where only groups that
-are not yet single are sorted again, down to LENGTH bytes. Common prefixes of neighbours follow Kasai's rule: along
+Which strings can repeat is narrowed first: of each window of LENGTH bytes, the anchor is the k-gram of least hash in
+it (the leftmost of equals). Equal windows have equal anchors at equal offsets, so a window whose anchor's k-gram occurs
+once in the corpus is unique, and only the anchors of k-grams that repeat go on. Neighbouring windows share an anchor;
+the bytes they span are the anchor's stretch. Equal stretches (by the k-gram's hash and 128 bits of their own) travel
+together: two of them at most are cut out of their texts, and go to the shard of their k-gram.
+
+A shard's suffix array is built by Larsson-Sadakane refinement: ranks by 5 or 8 bytes, then doubled, where only groups
+that are not yet single are sorted again, down to LENGTH bytes. Common prefixes of neighbours follow Kasai's rule: along
 text positions whose neighbour moves along by one, the prefix shrinks by one, so only the first of such a run is
-compared byte by byte. A window repeats if it shares LENGTH bytes with a neighbour, or its stretch was counted twice.
+compared byte by byte. A window repeats if it shares LENGTH bytes with a neighbour: nothing else decides.
 
 A k-gram with more stretches than a shard should hold is dealt to several; each pair of them is merged in a task, where
 the windows of one are looked up among the other's sorted windows by binary search.
 
 Results in the odd cases: null and empty texts, and texts under LENGTH bytes, stay whole (no spans); rows that repeat
-are documents that repeat each other; a null doc_id is carried; an empty table gives an empty table; other columns are
-never read.
+are documents that repeat each other, also under one id or a null id (two 64-bit hashes of the text tell different rows
+of one id apart); a null doc_id is carried; very long texts are scanned in parts of STEP bytes that overlap by a window;
+an empty table gives an empty table; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, columns, cut, small_batches, texts
+from .common import NO_ID, columns, cut, discard, small_batches, texts
 from .hashing import OF_BYTE, mix, powers
 
 LENGTH, GRAM = 200, 40
@@ -56,7 +59,7 @@ def _segments(blobs: list[bytes], length: int, step: int) -> Iterator[list[tuple
 
 
 def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(part, first window, last window, k-gram hash, stretch hash) of all anchors; windows are counted in their part."""
+    """(part, first window, last window, k-gram hash, two stretch hashes) of all anchors; windows are counted in their part."""
     data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
     size = np.array([len(p) for _, _, p in group])
     begin = np.concatenate(([0], np.cumsum(size)))
@@ -85,7 +88,9 @@ def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int
     last = np.append(ok[np.flatnonzero(new)[1:] - 1], ok[-1:])
     owner = part[first]
     stretch = mix((run[last + length] - run[first]) * down[first] + (last - first).astype(np.uint64))
-    return owner, first - begin[owner], last - begin[owner], grams[at[first]], stretch
+    whole, ends = data.tobytes(), last + length
+    second = b"".join([hashlib.blake2b(whole[p:q], digest_size=8).digest() for p, q in zip(first.tolist(), ends.tolist(), strict=True)])
+    return owner, first - begin[owner], last - begin[owner], grams[at[first]], stretch, np.frombuffer(second, np.uint64)
 
 
 # ---- suffix arrays
@@ -100,23 +105,34 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def placed(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of key, key in order). Keys of `width` bits that leave room for a place are sorted with it
+    as one number, which is several times as fast as sorting places by key."""
+    bits = max(1, len(key).bit_length())
+    if width + bits > 64:
+        by = np.argsort(key, kind="stable")
+        return by, key[by]
+    both = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+
+
 def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): `starts` sorted by the `length` bytes from each, and a number that equal ones share.
 
     Larsson-Sadakane: a rank is the place of a group's first member; groups of one are never sorted again.
     """
     n = len(data)
-    first = words_at(data)
-    order = np.argsort(first, kind="stable")
-    ordered = first[order]
+    depth = 5 if n < 1 << 24 and length >= 5 else min(8, length)
+    order, ordered = placed(words_at(data) >> np.uint64(64 - 8 * depth), 8 * depth)
     fresh = np.ones(n, bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n + length, np.int64)
+    rank = np.empty(n + length, np.uint64)
     rank[n:] = 0
     head = np.flatnonzero(fresh)
-    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
-    many = np.repeat(np.diff(np.append(head, n)) > 1, np.diff(np.append(head, n)))
-    active, depth = order[many], 8
+    count = np.diff(np.append(head, n))
+    rank[order] = np.repeat(head, count).astype(np.uint64)
+    active = order[np.repeat(count > 1, count)]
+    bits = max(1, n.bit_length())
     while depth < length and len(active):
         jump = min(depth, length - depth)
         if depth + jump == length:
@@ -125,10 +141,9 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[
             active = active[use[active]]  # the last turn: strings of full length begin at starts only
             if not len(active):
                 break
-        key = (rank[active].astype(np.uint64) << np.uint64(32)) | rank[active + jump].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
-        active, key = active[by], key[by]
-        old = key >> np.uint64(32)
+        by, key = placed((rank[active] << np.uint64(bits)) | rank[active + jump], 2 * bits)
+        active = active[by]
+        old = key >> np.uint64(bits)
         group = np.ones(len(key), bool)
         group[1:] = key[1:] != key[:-1]
         top = np.ones(len(key), bool)
@@ -136,13 +151,11 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[
         head, top = np.flatnonzero(group), np.flatnonzero(top)
         count = np.diff(np.append(head, len(key)))
         inside = head - top[np.searchsorted(top, head, "right") - 1]
-        fixed = np.repeat(old[head].astype(np.int64) + inside, count)
-        rank[active] = fixed
+        rank[active] = np.repeat(old[head] + inside.astype(np.uint64), count)
         active = active[np.repeat(count > 1, count)]
         depth += jump
-    final = rank[starts]
-    by = np.argsort(final, kind="stable")
-    return starts[by], final[by]
+    by, final = placed(rank[starts], bits)
+    return starts[by], final.astype(np.int64)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, group: np.ndarray, cap: int) -> np.ndarray:
@@ -250,107 +263,130 @@ class Shard:
 # ---- the distributed plan
 
 
+ROW = ["id", "t1", "t2"]
+CLASS = ["g", "x1", "x2"]
+
+
 def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, tie, lo, hi, g, x): a row an anchor of every document, written."""
+    """(id, t1, t2, lo, hi, g, x1, x2): a row an anchor of every document, written."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            blobs, ids, ties = texts(b), b.column("id").to_numpy(), b.column("tie").to_numpy()
+            blobs, keys = texts(b), [b.column(c).to_numpy() for c in ROW]
             for group in _segments(blobs, length, STEP):
                 row = np.array([r for r, _, _ in group])
                 shift = np.array([f for _, f, _ in group])
-                part, lo, hi, g, x = anchors(group, length, gram)
-                yield pa.record_batch([pa.array(ids[row[part]]), pa.array(ties[row[part]]), pa.array((lo + shift[part]).astype(np.int32)), pa.array((hi + shift[part]).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(x.view(np.int64))], names=["id", "tie", "lo", "hi", "g", "x"])
+                part, lo, hi, *hashes = anchors(group, length, gram)
+                place = [(x + shift[part]).astype(np.int32) for x in (lo, hi)]
+                yield pa.record_batch([pa.array(x) for x in (*[k[row[part]] for k in keys], *place, *[h.view(np.int64) for h in hashes])], names=[*ROW, "lo", "hi", *CLASS])
 
-    return cut(docs.mapInArrow(run, "id bigint, tie int, lo int, hi int, g bigint, x bigint"), "anchors")
+    return cut(docs.mapInArrow(run, "id bigint, t1 bigint, t2 bigint, lo int, hi int, g bigint, x1 bigint, x2 bigint"), "anchors")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id (never null), tie (a hash that tells rows of one id apart) and text."""
+    """id (never null), t1 and t2 (hashes that tell rows of one id apart) and text."""
     d = columns(docs, "doc_id", "text")
-    return d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.hash("text").alias("tie"), "text")
+    return d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
 
 
-def repeated_runs(docs: DataFrame, found: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(g, x, runs): of each stretch with windows that repeat, those windows, counted in the stretch."""
-    place = F.min(F.struct("id", "tie", "lo", "hi")).alias("at")
-    stretches = found.groupBy("g", "x").agg(F.count("*").alias("m"), place)
-    grams = stretches.groupBy("g").agg(F.sum("m").alias("all"), F.sum(F.col("at.hi") - F.col("at.lo") + length).alias("bytes"))
-    wanted = cut(stretches.join(grams.filter("all > 1"), "g").select("g", "x", "m", "bytes", "at.*"), "stretches")
-    total = wanted.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+def of_repeated_grams(found: DataFrame) -> DataFrame:
+    """The anchors whose k-gram occurs more than once, written. Counts are combined before the shuffle, and the join's
+    left side is one that adaptive execution splits where a k-gram is hot."""
+    grams = cut(found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
+    out = cut(found.join(grams, "g", "left_semi"), "repeated")
+    discard(found, grams)
+    return out
 
+
+def repeated_runs(docs: DataFrame, live: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(g, x1, x2, runs): of each class of equal stretches, the windows that repeat, counted in the stretch; written."""
+    place = F.struct(*ROW, "lo", "hi")
+    classes = live.groupBy(*CLASS).agg(F.count("*").alias("m"), F.min(place).alias("a"), F.max(place).alias("z"))
+    size = F.col("a.hi") - F.col("a.lo") + length
+    classes = cut(classes.withColumn("size", size * F.least("m", F.lit(2))), "classes")
+    # a k-gram's shard, or for a heavy one its blocks: each pair of them is a task
+    grams = classes.groupBy("g").agg(F.sum("size").alias("bytes"))
+    heavy = grams.filter(F.col("bytes") > shard_bytes).select("g", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("blocks"))
+    shards = max(1, -(-(classes.agg(F.sum("size")).first()[0] or 0) // shard_bytes))
+    dealt = classes.join(heavy, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("x1", "x2"), F.col("blocks")).cast("int"))
+    # a class of one sends its stretch, a larger one two of them, the second for its own block only
+    both = F.when(F.col("m") > 1, F.array(F.struct("a", F.lit(False).alias("second")), F.struct(F.col("z").alias("a"), F.lit(True).alias("second")))).otherwise(F.array(F.struct("a", F.lit(False).alias("second"))))
+    dealt = dealt.withColumn("p", F.explode(both)).select(*CLASS, "blocks", "block", "p.second", "p.a.*")
     # a document's stretches are cut out of its text at once, so texts are not repeated by the join
-    per = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("g", "x", "m", "bytes", "lo", "hi")).alias("w"))
+    per = dealt.groupBy(*ROW).agg(F.collect_list(F.struct(*CLASS, "blocks", "block", "second", "lo", "hi")).alias("w"))
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["g", "x", "m", "bytes", "s"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = [*CLASS, "blocks", "block", "second", "s"]
+        kinds = [*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        last = None
         for b in batches:
             rows, held = [], 0
-            for t, w in zip(texts(b), b.column("w"), strict=True):
+            keys = zip(*[b.column(c).to_pylist() for c in ROW], strict=True)
+            for key, t, w in zip(keys, texts(b), b.column("w"), strict=True):
+                if key == last:  # a row that repeats: its stretches are the same
+                    continue
+                last = key
                 for v in w.as_py():
-                    rows.append((v["g"], v["x"], v["m"], v["bytes"], t[v["lo"] : v["hi"] + length]))
+                    rows.append((*[v[c] for c in names[:-1]], t[v["lo"] : v["hi"] + length]))
                     held += v["hi"] - v["lo"] + length
-                if held > STEP:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows, held = [], 0
+                    if held > STEP:
+                        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows, held = [], 0
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    text = docs.dropDuplicates(["id", "tie"]).join(per, ["id", "tie"]).select("text", "w")
-    cutout = text.mapInArrow(read, "g bigint, x bigint, m bigint, bytes bigint, s binary")
-    # k-grams of ordinary size share shards by hash; a heavy one has blocks of its own, each pair of them a task
-    blocks = F.ceil(F.col("bytes") / shard_bytes).cast("int")
-    cutout = cutout.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    cutout = docs.join(per, ROW).select(*ROW, "text", "w").mapInArrow(read, "g bigint, x1 bigint, x2 bigint, blocks int, block int, second boolean, s binary")
     home = F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards)))
-    dealt = cutout.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select((F.col("blocks") > 1).alias("heavy"), "home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "g", "x", "m", "s")
+    others = F.when(F.col("second"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cutout = cutout.withColumn("home", home).withColumn("other", F.explode(others))
+    cutout = cutout.select((F.col("blocks") > 1).alias("heavy"), "home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "second", *CLASS, "s")
 
     def decide(t):
         import pyarrow as pa
 
         block, i, j = t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        g, x, m = (t.column(c).to_numpy() for c in ("g", "x", "m"))
+        name = [t.column(c).to_numpy() for c in CLASS]
+        second = t.column("second").to_numpy(zero_copy_only=False)
         s = t.column("s").to_pylist()
         out: list[tuple] = []
 
-        def tell(rows: list[int], shard: Shard, marked: np.ndarray, counted: bool) -> None:
+        def tell(rows: list[int], shard: Shard, marked: np.ndarray) -> None:
             for r, runs in zip(rows, shard.runs(marked), strict=True):
-                if counted and m[r] > 1:
-                    runs = [0, len(s[r]) - length]
-                if runs:
-                    out.append((g[r], x[r], runs))
+                if runs and not second[r]:
+                    out.append((*[c[r] for c in name], runs))
 
         if i == j:
-            rows = list(range(len(s)))
             shard = Shard(s, length)
-            tell(rows, shard, shard.repeated(), True)
+            tell(list(range(len(s))), shard, shard.repeated())
         else:
             sides = [np.flatnonzero(block == k).tolist() for k in (i, j)]
             if all(sides):
                 one, two = (Shard([s[r] for r in rows], length) for rows in sides)
-                tell(sides[0], one, one.found_in(two), False)
-                tell(sides[1], two, two.found_in(one), False)
-        gs, xs, rs = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"g": pa.array(gs, pa.int64()), "x": pa.array(xs, pa.int64()), "runs": pa.array(rs, pa.list_(pa.int32()))})
+                tell(sides[0], one, one.found_in(two))
+                tell(sides[1], two, two.found_in(one))
+        cols = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.list_(pa.int32()))], names=[*CLASS, "runs"])
 
-    return dealt.groupBy("heavy", "home", "i", "j").applyInArrow(decide, "g bigint, x bigint, runs array<int>")
+    out = cut(cutout.groupBy("heavy", "home", "i", "j").applyInArrow(decide, "g bigint, x1 bigint, x2 bigint, runs array<int>"), "runs")
+    discard(classes)
+    return out
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept) of every row: spans are first, end, first, end, ... bytes."""
     small_batches(docs.sparkSession)
     d = keyed(docs)
-    found = scan(d, length, gram)
-    runs = cut(repeated_runs(d, found, length, shard_bytes), "runs")
-    hit = found.join(runs, ["g", "x"]).select("id", "tie", F.transform("runs", lambda r: r + F.col("lo")).alias("r"))
-    per = hit.groupBy("id", "tie").agg(F.flatten(F.collect_list("r")).alias("r"))
-    full = d.join(per, ["id", "tie"], "left")
+    live = of_repeated_grams(scan(d, length, gram))
+    runs = repeated_runs(d, live, length, shard_bytes)
+    hit = live.join(runs, CLASS).select(*ROW, F.transform("runs", lambda r: r + F.col("lo")).alias("r"))
+    # a set: rows that repeat say the same
+    per = hit.groupBy(*ROW).agg(F.flatten(F.collect_set("r")).alias("r"))
+    full = d.join(per, ROW, "left")
 
     def take(batches: Iterator) -> Iterator:
         import pyarrow as pa
