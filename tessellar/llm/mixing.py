@@ -6,21 +6,26 @@ through a pseudorandom permutation of its block indices (a new one for each pass
 blocks by index. A source stops exactly at its rounded target: surplus draws are void, missing ones are drawn in
 closing shards, and its last block may be cut.
 
-Results in the odd cases: null or empty texts have size 0 and are never taken; a null source is a source of its own,
-last in order; rows that repeat an id are separate documents; an empty table gives an empty table.
+Results in the odd cases: null or empty texts have size 0 and are never taken, each of them keeps its row; a null source
+is a source of its own, last in order; rows that repeat, also with one id or none, are separate documents; a very long
+text is cut into blocks like any other; an empty table gives an empty table; columns other than doc_id, source and text
+are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, columns, cut, words
+from .common import NO_ID, columns, cut, discard, words
 
 BLOCK, SLOTS, SEED, ROUNDS = 128, 1024, 20, 16
+#: Drawn blocks that a task makes.
+DRAWS = 1 << 20
 SHARE, CAP = 1.5, 2
 WEIGHTS = (5, 2, 1)
 PRIME = 2147483647
@@ -145,17 +150,25 @@ def drawn(per: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     slot = slot.withColumn("u", u).withColumn("at", F.expr(f"u div {slots}"))
     stretch = s.select("number", "low", "need", F.explode(F.sequence(F.expr(f"low div {slots}"), F.expr(f"(low + need - 1) div {slots}"))).alias("at"))
     count = slot.join(stretch, "at").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("need")))
-    count = count.groupBy("number", "shard").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    count = cut(count.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))), "counts")
+    count = cut(count.groupBy("number", "shard").agg(F.count("*").alias("c")), "shard-counts")
+    # draws of a source before a shard: in two levels, so no task holds all shards of a source
+    step = max(1, math.isqrt(shards))
+    count = count.withColumn("band", F.expr(f"shard div {step}"))
+    before = Window.partitionBy("number").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = count.groupBy("number", "band").agg(F.sum("c").alias("held")).withColumn("low", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    inner = Window.partitionBy("number", "band").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.withColumn("inside", F.coalesce(F.sum("c").over(inner), F.lit(0))).join(bands.select("number", "band", "low"), ["number", "band"])
+    count = cut(count.select("number", "shard", "c", (F.col("low") + F.col("inside")).alias("base")), "counts")
     in_shards = count.join(s, "number").filter("base < need").select("number", "shard", "base", F.least(F.col("c"), F.col("need") - F.col("base")).alias("c"))
     given = in_shards.groupBy("number").agg(F.sum("c").alias("got"))
     # closing shards: what the draws left over, in runs of at most `slots`
     left = s.join(given, "number", "left").select("number", "shards", "need", F.coalesce("got", F.lit(0)).alias("got")).filter("got < need")
     left = left.select("number", "need", F.col("shards"), F.explode(F.sequence(F.col("got"), F.col("need") - 1, F.lit(slots).cast("bigint"))).alias("base"))
     left = left.select("number", (F.col("shards") + F.expr(f"base div {slots}")).alias("shard"), "base", F.least(F.lit(slots).cast("bigint"), F.col("need") - F.col("base")).alias("c"))
-    # dealt out before the explosion: a count is a few bytes and up to `slots` rows
-    rank = in_shards.unionByName(left).repartition("number", "shard").withColumn("rank", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("c") - 1)))
+    # dealt out before the explosion: a count is a few bytes and up to `slots` rows. The number of parts is set, or
+    # adaptive execution would merge them by their few bytes
+    parts = max(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DRAWS))
+    rank = in_shards.unionByName(left).repartition(parts, "number", "shard").withColumn("rank", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("c") - 1)))
     rank = rank.join(s.select("number", "blocks", "passes", "rest", "short_at", "tail"), "number")
     rank = rank.withColumn("pass", F.expr("rank div blocks")).withColumn("r", F.col("rank") % F.col("blocks"))
     rank = permuted(rank.withColumn("key", F.col("number") * 1000 + F.col("pass")), "block", "r", "blocks", "key")
@@ -171,17 +184,22 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> tuple[DataFr
     """(documents with their places, pieces of documents by block, drawn blocks)."""
     sizes = cut(sized(docs), "sizes")
     per = cut(targets(sizes), "targets")
-    placed = laid_out(sizes, per, block)
+    placed = cut(laid_out(sizes, per, block), "places")
+    discard(sizes)
     return placed, pieces(placed, block), drawn(per, block, slots)
 
 
 def taken(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document."""
-    _, cuts, draws = mix(docs, block, slots)
+    """(doc_id, size, source_size, target, taken) of every row: a row's place in its source tells it from all others."""
+    placed, cuts, draws = mix(docs, block, slots)
+    empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
+    cuts = cuts.filter("size > 0")
     draws = draws.withColumnRenamed("take", "words").withColumnRenamed("number", "of").withColumnRenamed("block", "at")
     joined = cuts.join(draws, (cuts["number"] == draws["of"]) & (cuts["block"] == draws["at"]), "left")
     got = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("n"), F.coalesce("words", F.lit(0)) - F.col("offset")))
-    return joined.groupBy("doc_id", "tie", "number", "start", "size", "source_size", "target").agg(F.sum(F.when(F.col("n") > 0, got).otherwise(0)).cast("bigint").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    out = joined.groupBy("doc_id", "tie", "number", "start", "size", "source_size", "target").agg(F.sum(got).cast("bigint").alias("taken"))
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    return out.select(*names).unionByName(empty.select(*names))
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
