@@ -308,7 +308,8 @@ def repeated_runs(docs: DataFrame, live: DataFrame, length: int, shard_bytes: in
     classes = cut(classes.withColumn("size", size * F.least("m", F.lit(2))), "classes")
     # a k-gram's shard, or for a heavy one its blocks: each pair of them is a task
     grams = classes.groupBy("g").agg(F.sum("size").alias("bytes"))
-    heavy = grams.filter(F.col("bytes") > shard_bytes).select("g", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("blocks"))
+    # written, so that the join below is one that adaptive execution splits where a k-gram is hot
+    heavy = cut(grams.filter(F.col("bytes") > shard_bytes).select("g", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("blocks")), "heavy")
     shards = max(1, -(-(classes.agg(F.sum("size")).first()[0] or 0) // shard_bytes))
     dealt = classes.join(heavy, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("x1", "x2"), F.col("blocks")).cast("int"))
@@ -373,7 +374,7 @@ def repeated_runs(docs: DataFrame, live: DataFrame, length: int, shard_bytes: in
         return pa.table([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.list_(pa.int32()))], names=[*CLASS, "runs"])
 
     out = cut(cutout.groupBy("heavy", "home", "i", "j").applyInArrow(decide, "g bigint, x1 bigint, x2 bigint, runs array<int>"), "runs")
-    discard(classes)
+    discard(classes, heavy)
     return out
 
 
