@@ -57,6 +57,14 @@ def remainder(x: Column, n: int) -> Column:
     return F.crc32(F.coalesce(x.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -3,7 +3,8 @@
 Results in the odd cases: a null or empty text is one empty line and stays; a line whose key is shorter than
 ``min_chars`` stays; within the smallest doc_id that holds a key every occurrence stays; rows that repeat an id share
 that id's standing (copies of one row under one id are one document); a null doc_id sorts before all others; an empty
-table gives an empty table; columns besides doc_id and text are carried along by ``dedup_lines`` and never read.
+table gives an empty table; columns besides doc_id and text are carried along by ``dedup_lines`` and never read,
+whatever their names (only n_lines and n_dropped are replaced); a text of any length is split whole.
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, columns, cut, fold_ascii, strip_space
+from .common import NO_ID, columns, cut, fold_ascii, strip_space, unused
 
 MIN_CHARS, MIN_DOCS = 10, 2
-#: Parts that a key's rows are dealt to where they meet the key's standing: a line of very many documents is no one task's.
-SALTS = 8
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -34,36 +33,43 @@ def keyed(docs: DataFrame) -> DataFrame:
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row1, row2, gone): sorted positions of the lines that go.
 
-    The aggregation combines on the map side, so a line that every document holds costs a row a task. For the join
-    back, the few repeated keys are copied SALTS times and the lines dealt among the copies.
+    The aggregation combines on the map side, so a line that every document holds costs a row a task. A key with more
+    rows than a shuffle partition's share is hot: there are fewer hot keys than partitions, so they are broadcast and
+    their lines stay where they are; the others meet their keys in a shuffle.
     """
     lines = cut(line_keys(keyed(columns(docs, "doc_id", "text")), min_chars), "lines")
     if min_docs == 2:
-        held = lines.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("last > keeper")
+        held = lines.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("n")).filter("last > keeper")
     else:
-        held = lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    copies = held.select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("row1"), F.lit(SALTS)).cast("int"))
-    found = dealt.join(copies, ["h1", "h2", "salt"]).filter("id > keeper")
-    return found.groupBy("row1", "row2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+        some = lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+        held = lines.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).join(some, ["h1", "h2"])
+    held = cut(held.select("h1", "h2", "keeper", "n"), "held")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, lines.count() // parts)
+    hot = F.broadcast(held.filter(F.col("n") > share).select("h1", "h2", F.col("keeper").alias("kept")))  # fewer than `parts` rows
+    spread = lines.join(hot, ["h1", "h2"], "left")
+    here = spread.filter("kept is not null and id > kept")
+    there = spread.filter("kept is null").drop("kept").join(held.filter(F.col("n") <= share), ["h1", "h2"]).filter("id > keeper")
+    names = ["row1", "row2", "pos"]
+    return here.select(*names).unionByName(there.select(*names)).groupBy("row1", "row2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text replaced by its kept lines, and n_lines and n_dropped added."""
     extra = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    one, two, gone, parts, edges = (unused(docs, f"{c}_of_lines") for c in ("row1", "row2", "gone", "parts", "edges"))
     full = docs.select(*[docs[c] for c in extra], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    full = full.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    full = full.withColumns({"_row1": F.xxhash64("_id", "text"), "_row2": F.xxhash64(F.lit(29), "text", "_id")})
-    lost = dropped_positions(docs, min_chars, min_docs).select(F.col("row1").alias("_row1"), F.col("row2").alias("_row2"), F.col("gone").alias("_gone"))
-    joined = full.join(lost, ["_row1", "_row2"], "left")
-    parts = joined.withColumn("_parts", F.split("text", "\n", -1)).withColumn("n_lines", F.size("_parts").cast("bigint"))
-    gone = F.coalesce("_gone", F.expr("cast(array() as array<int>)"))
-    parts = parts.withColumn("n_dropped", F.size(gone).cast("bigint"))
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    full = full.withColumns({one: F.xxhash64(key, F.col("text")), two: F.xxhash64(F.lit(29), F.col("text"), key)})
+    lost = dropped_positions(docs, min_chars, min_docs).select(F.col("row1").alias(one), F.col("row2").alias(two), F.col("gone").alias(gone))
+    full = full.join(lost, [one, two], "left").withColumn(gone, F.coalesce(gone, F.expr("cast(array() as array<int>)")))
+    full = full.withColumn(parts, F.split("text", "\n", -1)).withColumn("n_lines", F.size(parts).cast("bigint"))
+    full = full.withColumn("n_dropped", F.size(gone).cast("bigint"))
     # the kept lines are the slices between neighbouring dropped positions: linear in the number of lines
-    parts = parts.withColumn("_edges", F.concat(F.array(F.lit(-1)), gone, F.array(F.size("_parts"))))
-    kept = F.expr("flatten(transform(sequence(0, size(_edges) - 2), i -> slice(_parts, _edges[i] + 2, _edges[i + 1] - _edges[i] - 1)))")
+    full = full.withColumn(edges, F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(parts))))
+    kept = F.expr(f"flatten(transform(sequence(0, size({edges}) - 2), i -> slice({parts}, {edges}[i] + 2, {edges}[i + 1] - {edges}[i] - 1)))")
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return parts.select(*extra, text.alias("text"), "n_lines", "n_dropped")
+    return full.select(*[F.col(f"`{c}`") for c in extra], text.alias("text"), "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
