@@ -1,8 +1,8 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)), linear in the number of features.
-Labels are read for training rows only, at most ``MAX_TRAIN`` of them in hash order of their id (the documented bound);
-the label, lang, source and doc_id never enter a score.
+Labels are read for training rows only: at most ``MAX_TRAIN`` ids in hash order, a row each (the documented bound; of
+rows that share an id the one of least text). The label, lang, source and doc_id never enter a score.
 
 Results in the odd cases: a null text counts as empty and is scored by its structure; a null n_chars has a feature of
 its own; labels that are null or not 0/1 are ignored, an id labelled both ways counts as 0; without any label every score is 0.5; rows that
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, remainder, small_batches, texts
+from .common import columns, remainder, small_batches, texts, unused
 from .hashing import word_hashes
 
 HASHED, FACTORS, EPOCHS, RATE, DECAY, SEED = 1 << 16, 8, 5, 0.08, 1e-5, 4
@@ -119,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     known = known.filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_train)
-    rows = columns(docs, "doc_id", "text", "n_chars").join(F.broadcast(known), "doc_id")  # at most max_train rows
+    rows = columns(docs, "doc_id", "text", "n_chars").join(F.broadcast(known), "doc_id")  # at most max_train ids
+    # a row an id, combined before the shuffle: what reaches the driver is bounded however often an id repeats
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("least")).select("doc_id", "quality", "least.*")
 
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -164,7 +166,8 @@ def scored(docs: DataFrame, model: tuple, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents that the classifier does not reject, with their columns as they were."""
-    return scored(docs, train(docs, labels), "_likely").filter(F.col("_likely") >= cut).select(*docs.columns)
+    name = unused(docs, "likely")
+    return scored(docs, train(docs, labels), name).filter(F.col(name) >= cut).drop(name)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
