@@ -1,24 +1,31 @@
 """N-gram Jaccard join by universe partition and the pigeonhole principle, verified exactly.
 
 Sets of hashed word shingles are put in size bands. In a band, the shingle universe is hashed into segments; two sets
-above the threshold differ in at most H shingles, so with tolerances v (0: not indexed, 1: equal, 2: one shingle
-apart) that sum to H + 1 some segment is within its tolerance. A segment's index key is a sum of its shingles' hashes;
-a key of the one-deletion neighbourhood is that sum less one of them. A cost model allots the tolerances of each band.
+above the threshold differ in at most H shingles, so with tolerances v (1: equal, 2: one shingle apart) that sum to
+H + 1 some segment is within its tolerance. A segment's index key is a sum of its shingles' hashes; a key of the
+one-deletion neighbourhood is that sum less one of them.
+
+Empty keys (of a segment without shingles, and of a neighbourhood's single shingle less itself) say nothing: unrelated
+sets share them, the more the larger the corpus is. So tolerances sum to H + 1 + S, and a set whose segments with empty
+keys weigh S at most leaves these keys out of the index. Nothing is lost: where two linked sets agree by an empty key,
+both have it; if either left its own out, the segments at stake weigh S at most and the others still sum to H + 1; if
+neither did, they meet in the index. A cost model allots the segments, those with a one-deletion neighbourhood, and S,
+for each band: keys that are made, plus the partners met by chance among all sets.
 
 Keys that meet give candidates; a key's members are tied to its smallest one, so a key of g sets gives g - 1 pairs.
 Candidates' connected components are verified exactly and in full, each in tasks of bounded size: components that are
 larger are dealt into blocks, and each pair of blocks is one task. A component of more than ``MANY`` blocks is dealt by
-its keys instead, as two linked sets share one: more copies of each set, but no longer all pairs of blocks. In a task, a prefix index over the rarest shingles
-finds pairs, and their true overlap decides. Sets that are equal are one class throughout.
+its keys instead, as two linked sets share one: more copies of each set, but no longer all pairs of blocks. In a task, a
+prefix index over the rarest shingles finds pairs, and their true overlap decides. Sets that are equal are one class
+throughout.
 
-Shingles are 64-bit hashes, classes 128 bits and the size. In bands of more than ``PLAIN`` segments, segments of one
-shingle or none aren't indexed: a linked pair shares about a third of the band's segments (H changes leave that many
-of H + 1 untouched), and would be lost only if all those were so small.
+Shingles are 64-bit hashes, classes 128 bits and the size.
 
 Results in the odd cases: null and empty texts have no shingles and are linked with nothing; shorter texts than the
 shingle have one, of all their words; ties do not arise (a component's name is its smallest id); rows that repeat an
 id are one document, and in one component; a null id is carried as a document that sorts before all others, its
-component's name null; an empty table gives an empty table; other columns are never read.
+component's name null; a text of any length is taken whole; an empty table gives an empty table; other columns are
+never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import NO_ID, columns, cut, small_batches, texts
+from .common import NO_ID, columns, cut, discard, small_batches, texts, unused
 from .hashing import mix, shingles, word_hashes
 
-BAND, PLAIN, WEIGHT = 1.3, 16, 20.0
+BAND = 1.3
+#: Keys that a chance partner is worth: it draws two whole sets into verification.
+WEIGHT = 20.0
 #: Shingles that one verifying task holds of either block.
 BLOCK_SHINGLES = 2_000_000
 #: Blocks of a component up to which all their pairs are cheaper than a copy of each set for each of its keys.
@@ -44,31 +53,63 @@ SEEN = 500_000
 FILTER_BITS = 1 << 24
 
 
+def heavier(ones: int, p: float, twos: int, q: float, than: int) -> float:
+    """The chance that of `ones` things that weigh 1 with chance p, and `twos` that weigh 2 with chance q, the weight is
+    more than that; by the normal law where there are many."""
+    if than < 0:
+        return 1.0
+    if ones > 100:
+        mean, var = ones * p + 2 * twos * q, ones * p * (1 - p) + 4 * twos * q * (1 - q)
+        return 0.5 * math.erfc((than + 0.5 - mean) / math.sqrt(2 * var)) if var else float(mean > than)
+    fewer = 0.0
+    for t in range(min(twos, than // 2) + 1):
+        some = math.comb(twos, t) * q**t * (1 - q) ** (twos - t)
+        fewer += some * sum(math.comb(ones, k) * p**k * (1 - p) ** (ones - k) for k in range(min(ones, than - 2 * t) + 1))
+    return max(0.0, 1 - fewer)
+
+
+def chance(n: int, m: int, two: int, spare: int) -> float:
+    """Expected empty keys that a set of n shingles has in the index in common with another, unrelated one."""
+    none = (1 - 1 / m) ** n
+    single = none + (n / m * (1 - 1 / m) ** (n - 1) if m > 1 else float(n == 1))
+    plain = m - two
+    out = plain * (none * heavier(plain - 1, none, two, single, spare - 1)) ** 2 if plain else 0.0
+    return out + (two * (single * heavier(plain, none, two - 1, single, spare - 2)) ** 2 if two else 0.0)
+
+
 class Plan:
-    """Size bands, and each band's segments and tolerances, for similarity >= num / den."""
+    """Size bands, and each band's segments, neighbourhoods and spare weight, for similarity >= num / den among `sets`."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, sets: int = 1 << 20):
+        self.num, self.den, self.sets = num, den, sets
         self.tops: list[int] = [1]
         while self.tops[-1] < 1 << 36:
             self.tops.append(max(self.tops[-1] + 1, int((self.tops[-1] + 1) * BAND)))
-        self.allotted = [self.allot(top) for top in self.tops]
+        self.allotted: dict[int, tuple[int, int, int]] = {}
 
     def least(self, n: int) -> int:
         return -(-self.num * n // self.den)
 
-    def allot(self, top: int) -> tuple[int, int]:
-        """(segments, how many of them tolerate one difference): emitted keys plus expected false partners, the least."""
+    def allot(self, band: int) -> tuple[int, int, int]:
+        """(segments, how many of them tolerate one difference, spare weight) of the least cost."""
+        if band in self.allotted:
+            return self.allotted[band]
+        top, low = self.tops[band], self.tops[band - 1] + 1 if band else 1
         h = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
         best = None
-        for two in range(min(h // 2 + h % 2, 64) + 1):
-            m = h + 1 - two
-            if two > m or m < 1:
-                break
-            cost = m + two * top / m + WEIGHT * m * math.exp(-top / m)
-            if best is None or cost < best[0] - 1e-9:
-                best = (cost, m, two)
-        return best[1], best[2]
+        for two in range(min(h // 2 + h % 2, 16) + 1):
+            for spare in sorted({0, 1, 2, 3, 4, *(h * k // 50 for k in range(1, 26))}):
+                m = h + 1 + spare - two
+                if two > m or m < 1:
+                    continue
+                cost = m + two * top / m
+                if best is not None and cost >= best[0]:
+                    continue
+                cost += WEIGHT * self.sets * chance(low, m, two, spare)
+                if best is None or cost < best[0] - 1e-9:
+                    best = (cost, m, two, spare)
+        self.allotted[band] = best[1:]
+        return best[1:]
 
     def bands(self, n: int) -> list[int]:
         """The band of a set's size, and lower ones that may hold a partner."""
@@ -84,18 +125,17 @@ class Plan:
         out = []
         weight = mix(s ^ np.uint64(0x5851F42D4C957F2D))
         for k in self.bands(len(s)):
-            m, two = self.allotted[k]
+            m, two, spare = self.allot(k)
             segment = ((mix(s + np.uint64(k + 1)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(m, np.uint64)
             np.add.at(total, segment, weight)
             salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40))
-            if m > PLAIN:
-                use = np.bincount(segment, minlength=m) > 1
-                out.append(mix(total[use] + salt[use]))
-            else:
-                out.append(mix(total + salt))
+            held = np.bincount(segment, minlength=m)
+            every = int((held == 0).sum() + (held[:two] == 0).sum() + 2 * (held[:two] == 1).sum()) > spare
+            use = np.full(m, True) if every else held > 0
+            out.append(mix(total[use] + salt[use]))
             if two:
-                near = segment < two
+                near = segment < two if every else (segment < two) & (held[segment] > 1)
                 at = segment[near]
                 out.append(mix(total[at] - weight[near] + salt[at]))
         return np.unique(np.concatenate(out))
@@ -107,8 +147,8 @@ def linked(a: int, b: int, both: int, num: int, den: int) -> bool:
 
 def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, n, c1, c2, keys) of every row; a task gives a class's keys once."""
-    plan = Plan(num, den)
     small_batches(docs.sparkSession)
+    plan = Plan(num, den, docs.count())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -138,12 +178,17 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def candidate_groups(found: DataFrame) -> DataFrame:
-    """(node, component) over c1: classes whose keys meet, directly or through others."""
-    from pyspark.sql.window import Window
+    """(node, component) over c1: classes whose keys meet, directly or through others.
 
+    A key's smallest class is found by an aggregation that combines before the shuffle; keys of one class go, and the
+    join back is one that adaptive execution splits where a key is hot.
+    """
     rows = found.select("c1", F.explode("keys").alias("key"))
-    low = rows.withColumn("low", F.min("c1").over(Window.partitionBy("key"))).filter("c1 <> low")
-    return components(low.select(F.col("c1").alias("a"), F.col("low").alias("b")).distinct())
+    shared = cut(rows.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
+    pairs = rows.join(shared, "key").filter("c1 <> low").select(F.col("c1").alias("a"), F.col("low").alias("b")).distinct()
+    groups = components(pairs)
+    discard(shared)
+    return groups
 
 
 def verified_edges(ids: list[int], side: list[int] | None, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -263,9 +308,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with only the smallest id of each component."""
-    named = near_duplicates(docs, k, num, den)
-    rest = named.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rest, docs["doc_id"].cast("bigint").eqNullSafe(rest["_gone"]), "left_anti")
+    name, named = unused(docs, "gone"), near_duplicates(docs, k, num, den)
+    rest = named.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(rest, docs["doc_id"].cast("bigint").eqNullSafe(rest[name]), "left_anti")
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -114,12 +114,12 @@ def test_jaccard(docs, none, k, num, bounds):
     assert 1 in kept and 3 not in kept and 4 in kept and 5 in kept
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.data())
 def test_pigeonhole_loses_no_pair(data):
     """Two sets above the threshold share a key, whatever differs."""
     num = data.draw(st.sampled_from([50, 80, 90]))
-    plan = jaccard_join.Plan(num, 100)
+    plan = jaccard_join.Plan(num, 100, data.draw(st.sampled_from([1, 10**4, 10**6, 10**10])))
     n = data.draw(st.integers(1, 160))
     rng = np.random.default_rng(data.draw(st.integers(0, 10**6)))
     whole = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
@@ -129,6 +129,19 @@ def test_pigeonhole_loses_no_pair(data):
         assert len(np.intersect1d(plan.keys(a), plan.keys(b)))
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_neighbourhoods_and_spare_weight_are_allotted(num):
+    """At both thresholds in use, small sets have neighbourhoods, larger ones leave empty keys out, and unrelated sets
+    hardly meet."""
+    plan = jaccard_join.Plan(num, 100, 10**6)
+    allotted = [plan.allot(k) for k in range(30)]
+    assert any(two for _, two, _ in allotted) and any(spare for *_, spare in allotted)
+    rng = np.random.default_rng(2)
+    for n in (12, 40, 150, 700):
+        keys = collections.Counter(k for _ in range(400) for k in plan.keys(np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))).tolist())
+        assert max(keys.values()) <= (12 if n < 15 else 3)
+
+
 def test_verified_edges_connect_what_is_linked():
     rng = np.random.default_rng(3)
     base = rng.integers(1, 2**63, 60, dtype=np.uint64)
