@@ -1,10 +1,12 @@
 """LM scoring by subword lattice likelihood.
 
 The pieces of an existing vocabulary and their scores give each word a lattice of all its segmentations; the forward
-recursion sums over them in log space, and the text's log probability is that of its words and one end. Piece weights
-start from the vocabulary's scores (ranks, read as a Zipf law) and are re-estimated from all distinct training words by
-expectation maximisation, the scores staying as a prior. Whole words seen in training are edges too, with their count
-less an absolute discount; the discounted mass goes to the lattice.
+recursion sums over them in log space, and the text's log probability is that of its words and one end. Of a piece's
+weight, ``SCORED`` is what the vocabulary's scores say among the pieces of its length (a score that is a rank, as in a
+vocabulary of merges, is read as a Zipf law); the rest, and the mass of each length, are learned from all distinct
+training words by expectation maximisation, as texts may be of other words than the vocabulary's. With 1 the scores
+alone decide within a length. Whole words seen in training are edges too, with their count less an absolute discount;
+the discounted mass goes to the lattice.
 
 The text is marginal over classes as well, one for each frequent language of the training rows and one for the rest;
 the scored row's own language is not read:
@@ -21,7 +23,9 @@ the others are joined in a shuffle. Texts are never shuffled.
 
 Results in the odd cases: null and empty texts are one end; without training rows there is one class, of the lattice
 alone; rows that repeat are each scored (and each trained on); a null doc_id counts as empty text for the fold, a null
-lang belongs to the rest; an empty table gives an empty table; other columns are never read.
+lang belongs to the rest; a text of any length is taken whole, and a word of any length goes through the recursion,
+whose memory grows with the word's length; an empty table gives an empty table; other columns are never read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ from .hashing import mix
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 100_000
 CLASSES, BACK = 7, 0.2
-PASSES, PRIOR = 3, 500.0
+PASSES, PRIOR = 3, 20.0
+#: The part of a length's mass that goes by the vocabulary's scores.
+SCORED = 0.5
 FLUSH = 250_000
 BITS = 22
 STEP = 4096
@@ -74,12 +80,14 @@ class Lattice:
     """
 
     def __init__(self, pieces: dict[bytes, float], classes: int = 1):
+        pieces.setdefault(b" ", 1e-3)
         for b in range(256):
             pieces.setdefault(bytes([b]), 1e-7)
-        pieces.setdefault(b" ", 1e-3)
         self.pieces = sorted(pieces)
         self.longest = max(map(len, self.pieces))
         self.starts = np.array([p[:1] == b" " for p in self.pieces] + [False])
+        # start pieces by length, then the others by length; the end of a word has length 0
+        self.kind = np.array([len(p) + (0 if p[:1] == b" " else self.longest) for p in self.pieces] + [0])
         weight = np.array([pieces[p] for p in self.pieces] + [0.0])
         weight[-1] = 0.4 * weight[~self.starts].sum()
         self.prior = self.normal(weight)
@@ -104,8 +112,11 @@ class Lattice:
         return out
 
     def reweigh(self, k: int, expected: np.ndarray) -> None:
-        """Maximisation: expected counts and the vocabulary's scores, as PRIOR more counts in either group."""
-        self.logs[k] = np.log(self.normal(expected + PRIOR * self.prior))
+        """Maximisation: SCORED of a length's mass goes by the scores, the rest by expected counts; the scores count as
+        PRIOR more in all."""
+        counted = expected + PRIOR * self.prior
+        mass, own = np.bincount(self.kind, counted), np.bincount(self.kind, self.prior)
+        self.logs[k] = np.log(self.normal(SCORED * self.prior * mass[self.kind] / own[self.kind] + (1 - SCORED) * counted))
 
     def _edges(self, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By length: (word, start, piece) of all pieces in the words, an array of (words, bytes)."""
