@@ -305,6 +305,12 @@ def fact_conditions(spark: SparkSession, d: str) -> DataFrame:
     return f.filter("fact_type in ('footing_depth_in', 'footing_diameter_in')").select("p_partkey", "conditions", "alternate", "start", "end")
 
 
+CONDITIONS = """
+WITH k AS (SELECT p_partkey, p_partkey % 4 AS m, p_size AS s, CAST(p_size AS VARCHAR) AS t FROM part)
+SELECT p_partkey, '{"exposure_category":"C","wind_speed_mph":"130.0"}' AS conditions, (s * 25) || ' mm' AS alternate, CAST(10 AS INTEGER) AS start, CAST(10 + length(t || ' in. (' || (s * 25) || ' mm) deep') AS INTEGER) AS "end" FROM k WHERE m = 0 AND s BETWEEN 6 AND 120
+UNION ALL SELECT p_partkey, '{"hvhz":"true"}', NULL, CAST(6 AS INTEGER), CAST(6 + length(t || ' inches in diameter') AS INTEGER) FROM k WHERE m = 1 AND s BETWEEN 4 AND 60"""
+
+
 def step_split(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").select("doc_id", F.concat(F.lit("• "), F.regexp_replace("text", "\n", "\n• ")).alias("text"), F.lit("text").alias("text_source"))
     s = extract.steps(p, ["doc_id"])
@@ -392,7 +398,7 @@ _Q = {
     store_stats: " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "pages", "benchmark", "labels", "conversations", "events")),
     coverage_rollup: COVERAGE, duplicate_share: DUPLICATE_SHARE, distribution_subsets: SUBSETS,
     gc_orphans: "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT item_id FROM benchmark) AND doc_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
-    dataset_changes: CHANGES, ingest_partition: INGEST, html_blocks: None, html_headings: HTML_HEADINGS, unit_merge: None, unit_islands: ISLANDS, heading_fallback: None, fact_scan: FACTS, fact_conditions: None, step_split: STEPS,
+    dataset_changes: CHANGES, ingest_partition: INGEST, html_blocks: None, html_headings: HTML_HEADINGS, unit_merge: None, unit_islands: ISLANDS, heading_fallback: None, fact_scan: FACTS, fact_conditions: CONDITIONS, step_split: STEPS,
     bom_parse: BOM, nearest_caption: CAPTION, numbered_flow_pair: NUMBERED, outside_regions: OUTSIDE_REGIONS, column_edges: None, layout_roles: ROLES,
 }
 QUERIES = {f.__name__: f for f in _Q}

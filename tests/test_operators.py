@@ -60,23 +60,46 @@ def test_index_gives_what_the_scan_gives(spark, tmp_path):
     assert rows(so.search_index(spark, f"file://{tmp_path}/index", asked, 5)) == rows(so.batch(units, q, 5)) != []
 
 
-def test_facts():
-    found = lambda t: [(f.fact_type, f.value) for f in extract.scan_facts(t)]
-    assert found("3 ft deep") == [("footing_depth_in", 36.0)]
-    assert found('36" deep') == [("footing_depth_in", 36.0)]
-    assert [f.raw for f in extract.scan_facts("Dig hole 8 inches in diameter by 30 inches deep.") if f.fact_type == "footing_diameter_in"] == ["8"]
-    assert ("footing_diameter_in", 24.0) not in found("6 in. (152 mm) diameter 24 in. (609.6 mm) deep")
-    assert found("1 1/2 in. diameter x 18 in. auger bit") == []
-    assert found("hog rings 24 in. on center") == []
-    assert extract.conditions("Exposure C at 130 mph for 6 ft high fence", ["Installation", "HVHZ"]) == {"wind_speed_mph": "130.0", "exposure_category": "C", "fence_height": "6 ft", "hvhz": "true"}
-    assert [extract.number(x) for x in ("2½", "3/4", "x", "1/0")] == [2.5, 0.75, None, None]
-
-
-@given(st.text(alphabet="ab12 .()\nmc\"'ftinhdeph", max_size=80))
-def test_blanking_keeps_places(t):
-    assert len(extract.blanked(t)) == len(t)
-    for f in extract.scan_facts(t):
-        assert t[f.start : f.end].strip() == f.match_text
+def facts_of(spark, *texts, heading=None):
+    """Per text, its facts in no order."""
+    rows = spark.createDataFrame([(i, t, heading) for i, t in enumerate(texts)], "id int, text string, heading string")
+    out = [[] for _ in texts]
+    for r in extract.facts(rows, ["id"]).collect():
+        out[r["id"]].append(r)
+    return out
+
+
+def test_facts(spark):
+    got = facts_of(
+        spark, "3 ft deep", '36" deep', "Dig hole 8 inches in diameter by 30 inches deep.", "6 in. (152 mm) diameter 24 in. (609.6 mm) deep", "1 1/2 in. diameter x 18 in. auger bit", "hog rings 24 in. on center",
+        "Footing .75 in. deep", "30 1\u20448 in. deep", "Hole size for 4x4 posts = approximately 10\"", "depth 30 in. and depth 30 in., then 130\u00a0mph", None, "40 1/2\" On Center", "900 mph",
+    )
+    found = [sorted((f["fact_type"], f["value"]) for f in x) for x in got]
+    assert found[:2] == [[("footing_depth_in", 36.0)]] * 2
+    assert [f["raw"] for f in got[2] if f["fact_type"] == "footing_diameter_in"] == ["8"]
+    assert ("footing_diameter_in", 24.0) not in found[3] and ("footing_depth_in", 24.0) in found[3]
+    assert found[4:7] == [[], [], []]
+    assert [(f["fact_type"], f["raw"], f["value"]) for f in got[7]] == [("footing_depth_in", "1\u20448", None)]
+    assert [(f["value"], f["conditions"], f["condition_basis"]) for f in got[8]] == [(10.0, '{"post_size":"4x4"}', "stated")]
+    assert found[9:] == [[("footing_depth_in", 30.0), ("wind_speed_mph", 130.0)], [], [], []]
+
+
+def test_stated_conditions_and_numbers(spark):
+    row = spark.createDataFrame([("Exposure C at 130 mph for 6 ft high fence", "Installation HVHZ")], "text string, heading string")
+    got = row.select(*[c.alias(k) for k, c in extract.conditions(F.col("text"), F.col("heading")).items()]).first()
+    assert got.asDict() == {"wind_speed_mph": "130.0", "exposure_category": "C", "fence_height": "6 ft", "hvhz": "true"}
+    numbers = spark.createDataFrame([(i, x) for i, x in enumerate(("2½", "3/4", "x", "1/0"))], "i int, x string").select("i", extract.number(F.col("x")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in numbers] == [2.5, 0.75, None, None]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="ab12 .()\nmc\"'ftinhdeph", max_size=80), min_size=1, max_size=60))
+def test_blanking_keeps_places(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    assert all(r[0] == r[1] for r in rows.select(F.length("text"), F.length(extract.blanked(F.col("text")))).collect())
+    for t, found in zip(texts, facts_of(spark, *texts), strict=True):
+        for f in found:
+            assert t[f["start"] : f["end"]].strip() == f["match_text"]
 
 
 @given(st.text(alphabet="•-*abN. \n1)Note:", max_size=120), st.sampled_from(["text", "ocr"]))
