@@ -111,7 +111,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 10")
 
 
-RESULTS = f"""p AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents), q AS (SELECT item_id AS question_id, unnest(list_distinct(list_slice({TOKENS}, 1, 8))) AS term FROM benchmark),
+RESULTS = f"""p AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents), q AS (SELECT item_id AS question_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term), h AS (SELECT question_id, doc_id, round(sum(1 / df), 9) AS score FROM q JOIN p USING (term) JOIN f USING (term) GROUP BY ALL),
 results AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 10),
 nb AS (SELECT item_id AS question_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS item FROM benchmark), nd AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),

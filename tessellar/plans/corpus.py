@@ -59,7 +59,7 @@ def _markers(lang: str) -> str:
 
 
 LANG_DETECT = rf"""
-WITH t AS (SELECT doc_id, lower(substr(text, 1, 400)) AS x FROM documents),
+WITH t AS (SELECT doc_id, lower(text) AS x FROM documents),
 s AS (SELECT doc_id, x, {_markers("fr")} AS fr, {_markers("es")} AS es FROM t),
 l AS (SELECT doc_id, CASE WHEN trim(x) = '' THEN 'und' WHEN regexp_matches(x, '[\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]') THEN 'zh'
  WHEN NOT regexp_matches(x, '\p{{L}}{{2,}}') THEN 'und' WHEN fr >= 2 AND fr > es THEN 'fr' WHEN es >= 2 AND es > fr THEN 'es' ELSE 'en' END AS lang FROM s)
@@ -206,7 +206,7 @@ def date_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 DATE_CONFLICTS = """
-WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS value, CASE WHEN event_id % 11 = 0 THEN 'flagged' WHEN event_id % 2 = 0 THEN 'accepted' ELSE 'corrected' END AS status FROM events WHERE event_id % 40 < 3)
+WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS value, CASE WHEN event_id % 11 = 0 THEN 'flagged' WHEN event_id % 2 = 0 THEN 'accepted' ELSE 'corrected' END AS status FROM events)
 SELECT user_id, CASE WHEN count(DISTINCT value) = 1 THEN 'unanimous' ELSE 'conflict' END AS agreement, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value,
  CASE WHEN count(*) FILTER (status = 'flagged') > 0 THEN 'review_required' ELSE 'reviewed' END AS confidence, count(value) AS sources FROM e GROUP BY user_id"""
 
@@ -236,7 +236,7 @@ def supersession_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 RANK = f"""
-WITH RECURSIVE {CHAIN}, r(node, rank) AS (SELECT b, CAST(0 AS BIGINT) FROM e UNION SELECT a, CAST(0 AS BIGINT) FROM e UNION SELECT e.a, r.rank + 1 FROM r JOIN e ON r.node = e.b WHERE r.rank < 64)
+WITH RECURSIVE {CHAIN}, r(node, rank) AS (SELECT b, CAST(0 AS BIGINT) FROM e UNION SELECT a, CAST(0 AS BIGINT) FROM e UNION SELECT e.a, r.rank + 1 FROM r JOIN e ON r.node = e.b)
 SELECT node, max(rank) AS rank FROM r GROUP BY node"""
 
 

@@ -20,7 +20,7 @@ def tok(column: str) -> str:
     return TOK.format(column)
 
 
-def _bm25_sql(terms: list[so.Term], columns: dict[str, str], weights: dict[str, float], where: str = "", limit: int = 50) -> str:
+def _bm25_sql(terms: list[so.Term], columns: dict[str, str], weights: dict[str, float], where: str = "", limit: int | None = 50) -> str:
     """SQL of bm25(): columns maps a weighted column to its expression."""
 
     def count(c: str, t: so.Term) -> str:
@@ -37,7 +37,7 @@ WITH t AS (SELECT doc_id, source, lang, {", ".join(f"{tok(e)} AS t_{c}" for c, e
 c AS (SELECT doc_id, source, lang, {dl} AS dl, {f} FROM t),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(len(terms)))} FROM c),
 r AS (SELECT doc_id, source, lang, round({parts}, 4) AS score FROM c, s WHERE {" OR ".join(f"f{i} > 0" for i in range(len(terms)))})
-SELECT doc_id, score FROM r {where} ORDER BY score DESC, doc_id LIMIT {limit}"""
+SELECT doc_id, score FROM r {where} ORDER BY score DESC, doc_id {f'LIMIT {limit}' if limit else ''}"""
 
 
 TERMS, PHRASES = so.parse_question(QUESTION), so.parse_question(PHRASE)
@@ -73,7 +73,7 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 BM25_BATCH = f"""
-WITH q AS (SELECT item_id AS question_id, unnest(list_distinct(list_slice({tok("text")}, 1, 8))) AS term FROM benchmark),
+WITH q AS (SELECT item_id AS question_id, unnest(list_distinct({tok("text")})) AS term FROM benchmark),
 t AS (SELECT doc_id, {tok("text")} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
 f AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM f WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -100,7 +100,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return r.join(docs.select("doc_id", "source", "lang", F.sha2(so.dedupe_key(F.col("text"), F.col("lang")), 256).alias("dedupe_key")), "doc_id")
 
 
-RANKED = _bm25_sql(COMMON, {"text": "text"}, {"text": 1.0}, limit=400)
+RANKED = _bm25_sql(COMMON, {"text": "text"}, {"text": 1.0}, limit=None)
 NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 RANKED_CTE = f"""r0 AS ({RANKED}), r AS (SELECT r0.doc_id, r0.score, row_number() OVER (ORDER BY r0.score DESC, r0.doc_id) AS rank, d.source, d.lang, {NORM.format("d.text")} || chr(1) || d.lang AS k
 FROM r0 JOIN documents d USING (doc_id))"""
@@ -167,7 +167,7 @@ def unsupported_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 UNSUPPORTED_TERMS = f"""
-WITH q AS (SELECT item_id AS question_id, list_distinct(list_slice({tok("text")}, 1, 6)) AS t FROM benchmark),
+WITH q AS (SELECT item_id AS question_id, list_distinct({tok("text")}) AS t FROM benchmark),
 x AS (SELECT question_id, unnest(CASE WHEN question_id % 4 = 0 THEN list_append(t, 'zzzunknown') ELSE t END) AS term FROM q),
 v AS (SELECT DISTINCT unnest({tok("text")}) AS term FROM documents)
 SELECT question_id, count(*) FILTER (v.term IS NULL) > 0 AS unsupported, count(*) FILTER (v.term IS NULL) AS missing

@@ -203,7 +203,7 @@ def ocr_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 OCR_RECALL = f"""
-WITH v AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 4 = 0 THEN reverse(line) ELSE line END AS value FROM {LINES} WHERE ordinal < 3 AND doc_id % 13 <> 0)
+WITH v AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 4 = 0 THEN reverse(line) ELSE line END AS value FROM {LINES} WHERE doc_id % 13 <> 0)
 SELECT v.source AS reader, count(*) AS "values", count(*) FILTER (contains(lower(d.text), lower(v.value))) AS found FROM v JOIN documents d ON d.doc_id = v.id GROUP BY v.source"""
 
 
