@@ -1,6 +1,6 @@
 """From documents to a training mix in five stages; each stage's rows are written as Parquet and read by the next.
 
-1. The quality classifier's rejects go. 2. Lines that smaller ids hold too go (n_chars follows). 3. Of near copies
+1. The quality classifier's rejects go. 2. Lines that smaller ids hold too go (n_chars, where there is one, follows). 3. Of near copies
 (five-word shingles, Jaccard similarity of 0.8 or more, and what such links connect) the smallest id stays.
 4. Documents that hold a benchmark passage go. 5. What is left is packed into blocks and mixed to target weights.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessellar.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from tessellar.llm.common import scratch
+from tessellar.sources.shared import written
 
 #: SQL has no words for the factorisation machine of the first stage.
 ORACLE_SQL = None
@@ -25,7 +26,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"pipeline-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        written(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs
