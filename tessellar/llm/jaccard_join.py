@@ -49,8 +49,9 @@ BLOCK_SHINGLES = 2_000_000
 #: Blocks of a component up to which all their pairs are cheaper than a copy of each set for each of its keys.
 MANY = 64
 SEEN = 500_000
-#: Bits of the filter that tells, before texts are hashed again, which ids are wanted: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits for each value of a filter that picks rows before a shuffle, and in all at most: 16 MB. A filter that is too full
+#: lets more rows through; the join behind it decides.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 
 
 def heavier(ones: int, p: float, twos: int, q: float, than: int) -> float:
@@ -177,15 +178,49 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(columns(docs, "doc_id", "text").mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint, keys array<bigint>"), "sketches")
 
 
+def bit_filter(places: DataFrame, bits: int):
+    """A broadcast bit array of the places (0 to bits - 1) in a frame's one column."""
+    p = places.select((F.col(places.columns[0]) + 1).alias("p"))
+    made = p.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in made.collect():  # MOST_BITS / 32768 rows at most
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part[: len(out)]
+    return places.sparkSession.sparkContext.broadcast(out)
+
+
+def in_filter(held: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (held[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def enough_bits(n: int) -> int:
+    return min(MOST_BITS, 1 << max(15, (n * BITS_EACH).bit_length()))
+
+
 def candidate_groups(found: DataFrame) -> DataFrame:
     """(node, component) over c1: classes whose keys meet, directly or through others.
 
-    A key's smallest class is found by an aggregation that combines before the shuffle; keys of one class go, and the
-    join back is one that adaptive execution splits where a key is hot.
+    A key's smallest class is found by an aggregation that combines before the shuffle, and most keys are of one class
+    and go. A filter picks the rows of the others, and the join back is one that adaptive execution splits where a key
+    is hot.
     """
     rows = found.select("c1", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
-    pairs = rows.join(shared, "key").filter("c1 <> low").select(F.col("c1").alias("a"), F.col("low").alias("b")).distinct()
+    bits = enough_bits(shared.count())
+    held = bit_filter(shared.select(F.col("key").bitwiseAND(bits - 1)), bits)
+
+    def pick(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column("keys")
+            keys = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            some = in_filter(held.value, keys & (bits - 1))
+            yield pa.record_batch([pa.array(np.repeat(b.column("c1").to_numpy(), size)[some]), pa.array(keys[some])], names=["c1", "key"])
+
+    near = found.filter(F.size("keys") > 0).select("c1", "keys").mapInArrow(pick, "c1 bigint, key bigint")
+    pairs = near.join(shared, "key").filter("c1 <> low").select(F.col("c1").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(pairs)
     discard(shared)
     return groups
@@ -253,13 +288,9 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int, block_s
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", "c2"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     # texts are not shuffled: a filter of fixed size picks the rows to hash again, and the join on ids decides
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = members.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    wanted = np.zeros(FILTER_BITS, bool)
-    for r in bits.collect():  # FILTER_BITS / 32768 rows at most
-        part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        wanted[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    size = enough_bits(members.count())
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
+    shared = bit_filter(members.select(place.alias("p")), size)
     d = columns(docs, "doc_id", "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text", place.cast("int").alias("place"))
 
     def shingled(batches: Iterator) -> Iterator:
@@ -267,7 +298,7 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int, block_s
 
         for b in batches:
             at = b.column("place").to_numpy()
-            b = b.filter(pa.array(shared.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+            b = b.filter(pa.array(in_filter(shared.value, at)))
             if not b.num_rows:
                 continue
             h, at = word_hashes(texts(b))
