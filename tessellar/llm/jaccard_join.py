@@ -5,12 +5,12 @@ above the threshold differ in at most H shingles, so with tolerances v (1: equal
 H + 1 some segment is within its tolerance. A segment's index key is a sum of its shingles' hashes; a key of the
 one-deletion neighbourhood is that sum less one of them.
 
-Empty keys (of a segment without shingles, and of a neighbourhood's single shingle less itself) say nothing: unrelated
-sets share them, the more the larger the corpus is. So tolerances sum to H + 1 + S, and a set whose segments with empty
-keys weigh S at most leaves these keys out of the index. Nothing is lost: where two linked sets agree by an empty key,
-both have it; if either left its own out, the segments at stake weigh S at most and the others still sum to H + 1; if
-neither did, they meet in the index. A cost model allots the segments, those with a one-deletion neighbourhood, and S,
-for each band: keys that are made, plus the partners met by chance among all sets.
+Small segments say little: any two sets share an empty one, and sets with a passage in common often one of a single
+shingle. So tolerances sum to H + 1 + S, and of the segments that tolerate nothing each set leaves out the S smallest
+(of equal sizes, those of least hash). Nothing is lost: of what two linked sets agree on, whatever either left out, the
+set that went further up that order left out too, so it is S segments at most, and the others' tolerances still sum to
+H + 1. A cost model allots the segments, those with a one-deletion neighbourhood, and S, for each band: keys that are
+made, plus the partners met by chance among all sets and among those that share passages.
 
 Keys that meet give candidates; a key's members are tied to its smallest one, so a key of g sets gives g - 1 pairs.
 Candidates' connected components are verified exactly and in full, each in tasks of bounded size: components that are
@@ -44,6 +44,8 @@ from .hashing import mix, shingles, word_hashes
 BAND = 1.3
 #: Keys that a chance partner is worth: it draws two whole sets into verification.
 WEIGHT = 20.0
+#: Sets that the model takes to share a part of a set's shingles, and how large a part.
+NEAR, PART = 10.0, 0.2
 #: Shingles that one verifying task holds of either block.
 BLOCK_SHINGLES = 2_000_000
 #: Blocks of a component up to which all their pairs are cheaper than a copy of each set for each of its keys.
@@ -54,32 +56,35 @@ SEEN = 500_000
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
 
-def heavier(ones: int, p: float, twos: int, q: float, than: int) -> float:
-    """The chance that of `ones` things that weigh 1 with chance p, and `twos` that weigh 2 with chance q, the weight is
-    more than that; by the normal law where there are many."""
+def heavier(n: int, p: float, than: int) -> float:
+    """The chance that of n things with chance p more than that come true; by the normal law where there are many."""
     if than < 0:
         return 1.0
-    if ones > 100:
-        mean, var = ones * p + 2 * twos * q, ones * p * (1 - p) + 4 * twos * q * (1 - q)
-        return 0.5 * math.erfc((than + 0.5 - mean) / math.sqrt(2 * var)) if var else float(mean > than)
-    fewer = 0.0
-    for t in range(min(twos, than // 2) + 1):
-        some = math.comb(twos, t) * q**t * (1 - q) ** (twos - t)
-        fewer += some * sum(math.comb(ones, k) * p**k * (1 - p) ** (ones - k) for k in range(min(ones, than - 2 * t) + 1))
-    return max(0.0, 1 - fewer)
-
-
-def chance(n: int, m: int, two: int, spare: int) -> float:
-    """Expected empty keys that a set of n shingles has in the index in common with another, unrelated one."""
+    if n > 100:
+        var = n * p * (1 - p)
+        return 0.5 * math.erfc((than + 0.5 - n * p) / math.sqrt(2 * var)) if var else float(n * p > than)
+    return max(0.0, 1 - sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(min(n, than) + 1)))
+
+
+def chance(n: int, m: int, two: int, spare: int, sets: int) -> float:
+    """Expected index keys that a set of n shingles has in common with sets that it isn't linked with."""
     none = (1 - 1 / m) ** n
     single = none + (n / m * (1 - 1 / m) ** (n - 1) if m > 1 else float(n == 1))
     plain = m - two
-    out = plain * (none * heavier(plain - 1, none, two, single, spare - 1)) ** 2 if plain else 0.0
-    return out + (two * (single * heavier(plain, none, two - 1, single, spare - 2)) ** 2 if two else 0.0)
+    out = sets * two * single**2
+    if plain:
+        out += sets * plain * (none * heavier(plain - 1, none, spare - 1)) ** 2
+        # segments by size (Poisson), less the smallest: one of k shingles is shared with chance PART ** k
+        left, p = spare / plain, math.exp(-n / m)
+        for k in range(1, 30):
+            gone = min(left, p)
+            out += NEAR * plain * (p - gone) * PART ** (k - 1) * (k > 1)
+            left, p = left - gone, p * n / m / k
+    return out
 
 
 class Plan:
-    """Size bands, and each band's segments, neighbourhoods and spare weight, for similarity >= num / den among `sets`."""
+    """Size bands, and each band's segments, neighbourhoods and spare segments, for similarity >= num / den among `sets`."""
 
     def __init__(self, num: int, den: int, sets: int = 1 << 20):
         self.num, self.den, self.sets = num, den, sets
@@ -92,7 +97,7 @@ class Plan:
         return -(-self.num * n // self.den)
 
     def allot(self, band: int) -> tuple[int, int, int]:
-        """(segments, how many of them tolerate one difference, spare weight) of the least cost."""
+        """(segments, how many of them tolerate one difference, how many of the others are left out) of the least cost."""
         if band in self.allotted:
             return self.allotted[band]
         top, low = self.tops[band], self.tops[band - 1] + 1 if band else 1
@@ -101,12 +106,12 @@ class Plan:
         for two in range(min(h // 2 + h % 2, 16) + 1):
             for spare in sorted({0, 1, 2, 3, 4, *(h * k // 50 for k in range(1, 26))}):
                 m = h + 1 + spare - two
-                if two > m or m < 1:
+                if two > m or m < 1 or spare > m - two:
                     continue
-                cost = m + two * top / m
+                cost = m - spare + two * top / m
                 if best is not None and cost >= best[0]:
                     continue
-                cost += WEIGHT * self.sets * chance(low, m, two, spare)
+                cost += WEIGHT * chance(low, m, two, spare, self.sets)
                 if best is None or cost < best[0] - 1e-9:
                     best = (cost, m, two, spare)
         self.allotted[band] = best[1:]
@@ -131,12 +136,15 @@ class Plan:
             total = np.zeros(m, np.uint64)
             np.add.at(total, segment, weight)
             salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40))
-            held = np.bincount(segment, minlength=m)
-            every = int((held == 0).sum() + (held[:two] == 0).sum() + 2 * (held[:two] == 1).sum()) > spare
-            use = np.full(m, True) if every else held > 0
-            out.append(mix(total[use] + salt[use]))
+            key = mix(total + salt)
+            if spare:
+                held = np.bincount(segment, minlength=m)[two:].astype(np.uint64)
+                order = np.argsort((held << np.uint64(32)) | (key[two:] >> np.uint64(32)), kind="stable")
+                out += [key[:two], key[two:][order[spare:]]]
+            else:
+                out.append(key)
             if two:
-                near = segment < two if every else (segment < two) & (held[segment] > 1)
+                near = segment < two
                 at = segment[near]
                 out.append(mix(total[at] - weight[near] + salt[at]))
         return np.unique(np.concatenate(out))
