@@ -4,7 +4,8 @@ A batch holds inserts, deletes and revised counts. Each becomes signed rows (doc
 and tokenizer version: an insert adds, a delete subtracts what the document had, a revision subtracts the old count
 and adds the new one. A batch is committed once: its deltas, summed, go to a folder named after the batch, which
 counts when its _SUCCESS file is there; a second commit of the same batch does nothing, and a commit that was cut off
-is written anew. Totals are the sum over committed batches; compaction is a batch like any other.
+is written anew. Totals are the sum over all committed batches: batches aren't
+compacted, and one writer commits at a time.
 
 Results in the odd cases: null or empty texts count 0 tokens and 1 document; a null source or language is a group of
 its own; rows that repeat an id each count; groups whose documents all went keep a row with zeros; an empty table
