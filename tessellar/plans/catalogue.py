@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _name in ("retrieval", "corpus", "knowledge", "audits", "store", "checks"):
+for _name in ("retrieval", "corpus", "knowledge", "audits", "store", "checks", "lookups"):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
