@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ids import edition_id
 from ..functions.text import severity, warning_key
+from .search import with_texts
 from .versions import latest
 
 # fixed values: wordings that state, or refuse, a manufactured length
@@ -77,7 +78,7 @@ def link_replacements(values: DataFrame) -> DataFrame:
 
 def page_ceiling(results: DataFrame, pages: DataFrame, terms: DataFrame) -> DataFrame:
     """(question_id, ceiling): the most of an answer's terms that all the text of one returned page could hold."""
-    p = results.select("question_id", "doc_id").distinct().join(pages, "doc_id").join(terms, "question_id")
+    p = with_texts(results.select("question_id", "doc_id").distinct(), pages).join(terms, "question_id")
     hit = F.size(F.filter("terms", lambda t: F.instr(F.lower("text"), t) > 0)) / F.size("terms")
     return p.groupBy("question_id").agg(F.round(F.max(hit), 6).alias("ceiling"))
 
