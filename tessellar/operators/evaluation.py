@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .search import QUESTIONS, question_blocks
+
 # fixed values: what a run must reach
 GATES = {"recall": 0.80, "support": 0.70, "no_answer_precision": 0.66, "false_unsupported": 0.20}
 
 
+def holders(units: DataFrame, items: DataFrame, size: int = QUESTIONS) -> DataFrame:
+    """(question_id, doc_id) of each item (question_id, item) and unit (doc_id, t) whose text holds the item's as it stands.
+
+    Both are normalised: words between single blanks. An item's words but its first and last stand whole in a text that
+    holds it, so its second and third are looked up among the text's neighbouring words, and what they find is
+    compared; shorter items are compared with every text. The items go to the units, whose texts are not shuffled.
+    """
+    parts = [_holders(units, block) for block in question_blocks(items, size)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _holders(units: DataFrame, items: DataFrame) -> DataFrame:
+    by_pair: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    short: list[tuple[int, str]] = []
+    for q, item in items.select("question_id", "item").collect():  # a block
+        words = item.split(" ")
+        (by_pair.setdefault((words[1], words[2]), []) if len(words) > 3 else short).append((q, item))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            found, at = [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                words = t.split(" ")
+                near = [x for pair in by_pair.keys() & set(zip(words, words[1:], strict=False)) for x in by_pair[pair]]
+                mine = [q for q, item in [*near, *short] if item in t]
+                found += mine
+                at += [i] * len(mine)
+            yield pa.record_batch([pa.array(found, pa.int64()), b.column("doc_id").take(pa.array(at, pa.int64()))], names=["question_id", "doc_id"])
+
+    return units.select(F.col("doc_id").cast("bigint"), "t").mapInArrow(run, "question_id bigint, doc_id bigint")
+
+
 def scored(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(question_id, rank, found): the first relevant result's rank within k, of every question with an answer."""
     hits = results.filter(F.col("rank") <= k).join(relevant, ["question_id", "doc_id"])

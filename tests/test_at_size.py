@@ -34,7 +34,7 @@ def same_as_sql(df, rel):
     assert collections.Counter(map(tuple, df.collect())) == want
 
 
-@pytest.mark.parametrize("name", ["page_ceiling"])
+@pytest.mark.parametrize("name", ["page_ceiling", "evidence_support"])
 def test_odd_questions(spark, odd, name):
     folder, con = odd
     same_as_sql(catalogue.QUERIES[name](spark, folder), con.sql(catalogue.SQL[name]))
@@ -47,3 +47,10 @@ def test_blocks_of_questions(spark, odd):
     q = spark.createDataFrame([(i, t) for i, x in ITEMS for t in dict.fromkeys(x.lower().split())], "question_id bigint, term string")
     rel = con.sql(f"WITH {RESULTS} SELECT question_id, doc_id, score, rank FROM results")
     same_as_sql(search.shared_words(docs, q, 10, size=2).select("question_id", "doc_id", "score", "rank"), rel)
+
+
+def test_words_and_texts_stay(spark, odd):
+    """No plan of the results or of the texts beside them deals out texts or words."""
+    folder, _ = odd
+    plan = catalogue.QUERIES["evidence_support"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "text" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
