@@ -14,8 +14,10 @@ made, plus the partners met by chance among all sets and among those that share
 
 Keys that meet give candidates; a key's members are tied to its smallest one, so a key of g sets gives g - 1 pairs.
 Candidates' connected components are verified exactly and in full, each in tasks of bounded size: components that are
-larger are dealt into blocks, and each pair of blocks is one task. A component of more than ``MANY`` blocks is dealt by
-its keys instead, as two linked sets share one: more copies of each set, but no longer all pairs of blocks. In a task, a
+larger are dealt into blocks, and each pair of blocks is one task, or by their keys, as two linked sets share one,
+whichever takes fewer copies of the sets (beyond ``MANY`` blocks always by keys). The first suits many near copies of one
+text, the second chains of chance meetings, which tie ever more sets together as documents grow in number and would be
+copied once for each block. Keys of the same members count once, and small ones share tasks. In a task, a
 prefix index over the rarest shingles finds pairs, and their true overlap decides. Sets that are equal are one class
 throughout.
 
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import NO_ID, columns, cut, discard, small_batches, texts, unused
+from .common import NO_ID, columns, cut, discard, small_batches, texts, union_all, unused
 from .hashing import mix, shingles, word_hashes
 
 BAND = 1.3
@@ -48,8 +50,10 @@ WEIGHT = 20.0
 NEAR, PART = 10.0, 0.2
 #: Shingles that one verifying task holds of either block.
 BLOCK_SHINGLES = 2_000_000
-#: Blocks of a component up to which all their pairs are cheaper than a copy of each set for each of its keys.
+#: Blocks of a component beyond which it is dealt by its keys, whatever the copies.
 MANY = 64
+#: Turns in which keys are brought together, each a part of their values: a turn's shuffle files go before the next.
+TURNS = 4
 SEEN = 500_000
 #: Bits for each value of a filter that picks rows before a shuffle, and in all at most: 16 MB. A filter that is too full
 #: lets more rows through; the join behind it decides.
@@ -205,15 +209,19 @@ def enough_bits(n: int) -> int:
     return min(MOST_BITS, 1 << max(15, (n * BITS_EACH).bit_length()))
 
 
-def candidate_groups(found: DataFrame) -> DataFrame:
-    """(node, component) over c1: classes whose keys meet, directly or through others.
+def meetings(found: DataFrame) -> DataFrame:
+    """(c1, key, low): classes whose keys meet, beside the key's smallest class; a table. Rows may repeat.
 
     A key's smallest class is found by an aggregation that combines before the shuffle, and most keys are of one class
     and go. A filter picks the rows of the others, and the join back is one that adaptive execution splits where a key
     is hot.
     """
     rows = found.select("c1", F.explode("keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
+    turns = []
+    for i in range(TURNS):
+        part = rows.filter(F.pmod(F.shiftright("key", 32), F.lit(TURNS)) == i).groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high"))
+        turns.append(cut(part.filter("low < high").select("key", "low"), "shared-keys"))
+    shared = union_all(turns)
     bits = enough_bits(shared.count())
     held = bit_filter(shared.select(F.col("key").bitwiseAND(bits - 1)), bits)
 
@@ -228,10 +236,38 @@ def candidate_groups(found: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.repeat(b.column("c1").to_numpy(), size)[some]), pa.array(keys[some])], names=["c1", "key"])
 
     near = found.filter(F.size("keys") > 0).select("c1", "keys").mapInArrow(pick, "c1 bigint, key bigint")
-    pairs = near.join(shared, "key").filter("c1 <> low").select(F.col("c1").alias("a"), F.col("low").alias("b")).distinct()
-    groups = components(pairs)
-    discard(shared)
-    return groups
+    met = cut(near.join(shared, "key").select("c1", "key", "low"), "meetings")
+    discard(*turns)
+    return met
+
+
+def candidate_groups(met: DataFrame) -> DataFrame:
+    """(node, component) over c1: classes whose keys meet, directly or through others."""
+    return components(met.filter("c1 <> low").select(F.col("c1").alias("a"), F.col("low").alias("b")))
+
+
+def dealt(members: DataFrame, met: DataFrame, block_shingles: int = BLOCK_SHINGLES, many: int = MANY) -> DataFrame:
+    """(kind, home, blocks, id, c2): the tasks that each set of members (id, n, c1, c2, component) goes to; those of a
+    home are verified together, in all pairs of its blocks."""
+    weight = members.groupBy("component").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block_shingles))
+    sized = members.join(weight, "component")
+    whole = sized.select(F.lit("component").alias("kind"), F.col("component").alias("home"), "blocks", "id", "c2")
+    if not weight.filter("blocks > 1").limit(1).count():
+        return whole
+    wide = sized.filter("blocks > 1")
+    near = cut(met.select("c1", "key").distinct().join(wide, "c1"), "near")
+    alike = near.groupBy("key", "component", "total", "blocks").agg(F.count("*").alias("members"), F.bit_xor("c1").alias("x"), F.bit_xor(F.xxhash64("c1", "c2")).alias("y"), F.sum("n").alias("shingles"))
+    alike = alike.groupBy("component", "total", "blocks", "members", "x", "y", "shingles").agg(F.min("key").alias("key"))
+    alike = cut(alike.filter("members > 1").withColumn("parts", F.ceil(F.col("shingles") / block_shingles)), "alike")
+    cost = alike.groupBy("component", "total", "blocks").agg(F.sum(F.col("shingles") * F.col("parts")).alias("copies"))
+    by_key = cost.filter((F.col("blocks") > many) | (F.col("copies") < F.col("total") * F.col("blocks"))).select("component")
+    keyed = near.select("component", "key", "id", "c2").join(alike.select("key", "shingles", "parts"), "key").join(by_key, "component")
+    small = alike.filter("parts = 1").join(by_key, "component").agg(F.sum("shingles")).first()[0] or 0
+    bins = -(-2 * small // block_shingles) or 1
+    shared = keyed.filter("parts = 1").select(F.lit("keys").alias("kind"), F.pmod(F.xxhash64("key"), F.lit(bins)).alias("home"), F.lit(1).cast("bigint").alias("blocks"), "id", "c2").distinct()
+    alone = keyed.filter("parts > 1").select(F.lit("key").alias("kind"), F.col("key").alias("home"), F.col("parts").alias("blocks"), "id", "c2")
+    rest = whole.join(by_key, whole["home"] == by_key["component"], "left_anti")
+    return union_all([rest, shared, alone])
 
 
 def verified_edges(ids: list[int], side: list[int] | None, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -280,19 +316,12 @@ def verified_edges(ids: list[int], side: list[int] | None, sets: list[np.ndarray
 
 def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES, many: int = MANY) -> DataFrame:
     """(a, b): links between the smallest ids of classes, enough to connect all that is linked."""
-    groups = candidate_groups(found)
+    met = meetings(found)
+    groups = candidate_groups(met)
     # a class in a group ships its set once, from its smallest document
     reps = found.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("id"))
     members = cut(reps.join(groups, reps["c1"] == groups["node"]).select("id", "n", "c1", "c2", "component"), "members")
-    weight = members.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
-    sized = members.join(weight, "component")
-    blocks = sized.filter(F.col("blocks") <= many).select("id", "c2", F.lit(False).alias("by_key"), F.col("component").alias("home"), "blocks")
-    if weight.filter(F.col("blocks") > many).limit(1).count():  # else no key is read again
-        vast = sized.filter(F.col("blocks") > many).select("id", "c1", "c2", "n")
-        keys = found.select("c1", F.explode("keys").alias("home")).join(vast.select("c1").distinct(), "c1", "left_semi").distinct()
-        near = keys.join(vast, "c1")
-        per_key = near.groupBy("home").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"), F.count("*").alias("members")).filter("members > 1")
-        blocks = blocks.unionByName(near.join(per_key, "home").select("id", "c2", F.lit(True).alias("by_key"), "home", "blocks"))
+    blocks = dealt(members, met, block_shingles, many)
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", "c2"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     # texts are not shuffled: a filter of fixed size picks the rows to hash again, and the join on ids decides
@@ -316,7 +345,7 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int, block_s
 
     sets = d.mapInArrow(shingled, "id bigint, c2 bigint, s binary").dropDuplicates(["id", "c2"])
     full = blocks.join(sets, ["id", "c2"]).withColumn("other", other)
-    full = full.select("by_key", "home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "s")
+    full = full.select("kind", "home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "s")
 
     def verify(t):
         import pyarrow as pa
@@ -329,7 +358,7 @@ def links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int, block_s
         a, b = zip(*got, strict=True) if got else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("by_key", "home", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+    return full.groupBy("kind", "home", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_shingles: int = BLOCK_SHINGLES, many: int = MANY) -> DataFrame:

@@ -114,6 +114,22 @@ def test_jaccard(docs, none, k, num, bounds):
     assert 1 in kept and 3 not in kept and 4 in kept and 5 in kept
 
 
+def test_jaccard_chains_are_dealt_by_keys(spark):
+    """400 sets that meet in a chain are no 40 copies of each; near copies, whose keys all meet, stay in blocks."""
+    chain = [(i, 100, i, i, 0) for i in range(400)]
+    copies = [(i, 100, i, i, 1000) for i in range(1000, 1030)]
+    members = spark.createDataFrame(chain + copies, "id bigint, n bigint, c1 bigint, c2 bigint, component bigint")
+    met = [(i, k, k) for k in range(399) for i in (k, k + 1)]
+    met += [(i, 5000 + k, 1000) for k in range(90) for i in range(1000, 1030) if (i * 7 + k) % 10]  # a key lacks three of them
+    got = jaccard_join.dealt(members, spark.createDataFrame(met, "c1 bigint, key bigint, low bigint"), 1000).collect()
+    homes = collections.defaultdict(set)
+    for r in got:
+        homes[r["id"]].add((r["kind"], r["home"]))
+    assert sum(r["blocks"] for r in got if r["id"] < 1000) <= 2 * 400
+    assert all(homes[i] & homes[i + 1] for i in range(399))
+    assert sorted((r["id"], r["kind"], r["blocks"]) for r in got if r["id"] >= 1000) == [(i, "component", 3) for i in range(1000, 1030)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.data())
 def test_pigeonhole_loses_no_pair(data):
