@@ -3,10 +3,11 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
-from tessellar.operators import evaluation, search  # noqa: E402
+from tessellar.operators import conditions, evaluation, search  # noqa: E402
 from tessellar.plans import catalogue  # noqa: E402
 from tessellar.plans.audits import RESULTS  # noqa: E402
 
@@ -67,6 +68,18 @@ def test_headings_with_references(spark, tmp_path):
     assert [r["text"] for r in catalogue.QUERIES["html_blocks"](spark, f"file://{tmp_path}").filter("page_id = 1 and ordinal = 0").collect()] == ['"x" <y>']
 
 
+def test_overlaps_of_one_full_cell(spark, monkeypatch):
+    """A group whose intervals fill one cell is dealt into parts, none of a whole group, and loses no pair."""
+    monkeypatch.setattr(conditions, "CELL_ROWS", 7, raising=False)
+    rows = [("g", i, None if i % 9 == 0 else float(i % 20), float(i % 20 + i % 3)) for i in range(80)] + [(None, 90, 1.0, 2.0), (None, 91, 1.0, 2.0)]
+    df = conditions.interval_overlaps(spark.createDataFrame(rows, "g string, id bigint, lo double, hi double"), ["g"], "id", "lo", "hi", F.lit(25.0))
+    meet = lambda x, y: (x[2] is None or x[2] <= y[3]) and (y[2] is None or y[2] <= x[3])
+    want = sorted((x[1], y[1]) for x in rows[:80] for y in rows[:80] if x[1] < y[1] and meet(x, y))
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "_part" in plan
+
+
 def test_holders_of_items_of_any_length(spark):
     units = spark.createDataFrame([(1, "a bc d e fg"), (2, ""), (None, "c d e f")], "doc_id bigint, t string")
     items = spark.createDataFrame([(1, "c d e f"), (2, "bc"), (3, ""), (4, "c d"), (5, "a bc d e fg h")], "question_id bigint, item string")
