@@ -1,6 +1,7 @@
 """What a query moves stays small beside its input, and odd inputs still match the SQL."""
 
 import collections
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,23 @@ def test_overlaps_of_one_full_cell(spark, monkeypatch):
     assert "Window" not in plan and "_part" in plan
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_overlaps_of_far_ends_and_equal_ones(spark, monkeypatch, kind):
+    """Ends far beyond the cells, unbounded ends, equal low ends and repeated identities: each pair once, and no others are compared in a join."""
+    for name, n in (("CELL_ROWS", 20), ("LIST_ROWS", 4), ("AGAINST_ROWS", 3), ("MADE_ROWS", 5)):
+        monkeypatch.setattr(conditions, name, n, raising=False)
+    far = [1e12, -1e12, None]
+    rows = [(g, str(i % 55) if kind == "string" else i % 55, far[i % 3] if i % 11 == 0 else float(i * 7 % 13), float(i * 7 % 13 + i % 4) if i % 10 else far[i % 3]) for g in "gh" for i in range(60)]
+    rows += [("one", rows[0][1], None, 1.0)]
+    df = conditions.interval_overlaps(spark.createDataFrame(rows, f"g string, id {kind}, lo double, hi double"), ["g"], "id", "lo", "hi", F.lit(2.0))
+    inf = float("inf")
+    full = [(g, i, -inf if lo is None else lo, inf if hi is None else hi) for g, i, lo, hi in rows]
+    full = [x for x in full if x[2] <= x[3]]
+    want = sorted((x[0], x[1], y[1]) for x in full for y in full if x[0] == y[0] and x[1] < y[1] and x[2] <= y[3] and y[2] <= x[3])
+    assert sorted(map(tuple, df.collect())) == want and len(want) > 1000
+    assert not re.search(r"_id#\d+L? < _id#", df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_holders_of_items_of_any_length(spark):
     units = spark.createDataFrame([(1, "a bc d e fg"), (2, ""), (None, "c d e f")], "doc_id bigint, t string")
     items = spark.createDataFrame([(1, "c d e f"), (2, "bc"), (3, ""), (4, "c d"), (5, "a bc d e fg h")], "question_id bigint, item string")
