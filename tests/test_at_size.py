@@ -98,6 +98,15 @@ def test_overlaps_of_far_ends_and_equal_ones(spark, monkeypatch, kind):
     assert not re.search(r"_id#\d+L? < _id#", df._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_overlaps_take_few_bytes(spark, tmp_path):
+    """The answer is all pairs: its rows come in an order that repeats itself when written."""
+    rows = spark.range(4000).select((F.col("id") % 2).alias("g"), "id", (F.pmod(F.xxhash64("id"), F.lit(100)) / 10).alias("lo"))
+    rows = rows.withColumn("hi", F.col("lo") + F.pmod(F.hash("id"), F.lit(50)))
+    conditions.interval_overlaps(rows, ["g"], "id", "lo", "hi", F.lit(25.0)).write.parquet(f"file://{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"file://{tmp_path}/pairs").count()
+    assert pairs > 3_000_000 and 2 * sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < pairs
+
+
 def test_holders_of_items_of_any_length(spark):
     units = spark.createDataFrame([(1, "a bc d e fg"), (2, ""), (None, "c d e f")], "doc_id bigint, t string")
     items = spark.createDataFrame([(1, "c d e f"), (2, "bc"), (3, ""), (4, "c d"), (5, "a bc d e fg h")], "question_id bigint, item string")
